@@ -62,6 +62,6 @@ def token_window(col, length: int) -> tuple[Column, Column, Column]:
     n_real = F.size(head)
     pad = F.array_repeat(F.lit(PAD_TOKEN), F.lit(length) - n_real)
     window = F.concat(head, pad)
-    mask = F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
-                       lambda i: F.when(i < n_real, 1).otherwise(0))
+    # no lambda here: a lambda would re-evaluate the split for every position
+    mask = F.concat(F.array_repeat(F.lit(1), n_real), F.array_repeat(F.lit(0), F.lit(length) - n_real))
     return window, mask, n_real
