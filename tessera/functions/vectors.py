@@ -71,12 +71,20 @@ def argmin(a) -> Column:
     return (F.array_position(_c(a), F.array_min(_c(a))) - 1).cast("int")
 
 
+def bind(value, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` as a lambda variable.
+
+    Catalyst inlines a derived column into every lambda call that refers to
+    it; binding through a one-element ``transform`` keeps it computed once.
+    """
+    return F.transform(F.array(_c(value)), fn)[0]
+
+
 def softmax(a) -> Column:
     """Softmax of one array, max subtracted first."""
-    m = F.array_max(_c(a))
-    e = F.transform(_c(a), lambda x: F.exp(x - m))
-    s = vsum(e)
-    return F.transform(e, lambda x: x / s)
+    def with_exp(e):
+        return bind(vsum(e), lambda s: F.transform(e, lambda x: x / s))
+    return bind(F.array_max(_c(a)), lambda m: bind(F.transform(_c(a), lambda x: F.exp(x - m)), with_exp))
 
 
 def cos_to_unit(x) -> Column:
@@ -86,7 +94,9 @@ def cos_to_unit(x) -> Column:
 
 def layer_norm(a, eps: float = LN_EPS) -> Column:
     """Per-vector normalisation: mean 0, biased variance, ``eps`` inside the root."""
-    n = F.size(_c(a)).cast("double")
-    mean = vsum(a) / n
-    var = vsum(F.transform(_c(a), lambda x: (x - mean) * (x - mean))) / n
-    return F.transform(_c(a), lambda x: (x - mean) / F.sqrt(var + F.lit(eps)))
+    def with_vec(v):
+        n = F.size(v).cast("double")
+        return bind(vsum(v) / n, lambda mean: bind(
+            vsum(F.transform(v, lambda x: (x - mean) * (x - mean))) / n,
+            lambda var: F.transform(v, lambda x: (x - mean) / F.sqrt(var + F.lit(eps)))))
+    return bind(a, with_vec)

@@ -72,12 +72,11 @@ def score_prototypes(df: DataFrame, packed: DataFrame, vec: str = "x") -> DataFr
     ``pred`` is the q of the largest cosine; ties go to the lowest q.
     """
     j = df.crossJoin(one_row(packed.select("P")))
-    xn = V.norm(vec)
-    scored = j.withColumn("_xn", xn).withColumn(
-        "cos", F.transform("P", lambda p: V.cosine(vec, p["c"], "_xn", p["cn"])))
+    cos = V.bind(V.norm(vec), lambda xn: F.transform("P", lambda p: V.cosine(vec, p["c"], xn, p["cn"])))
+    scored = j.withColumn("cos", cos)
     return scored.withColumn("qs", F.transform("P", lambda p: p["q"])) \
         .withColumn("pred", F.element_at("qs", V.argmax("cos") + 1)) \
-        .drop("P", "_xn")
+        .drop("P")
 
 
 def assign_to_prototypes(df: DataFrame, protos: DataFrame, vec: str = "x") -> DataFrame:
