@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.session import one_row, small_table
+from tessera.session import bounded_collect, materialize, one_row
 
 # bound on prototypes (k x dim doubles) held in one broadcast row
 MAX_PROTOTYPE_VALUES = 8_000_000
@@ -54,16 +54,13 @@ def first_id_prototypes(df: DataFrame, label: str = "label", vec: str = "x", id_
 
 
 def pack_prototypes(protos: DataFrame, max_k: int = 4096) -> DataFrame:
-    """Materialise (q, c) and pack it into one broadcast-safe row ``P``.
+    """Pack (q, c) into one broadcast-safe row ``P`` sorted by q.
 
-    The prototypes are checkpointed to the shared folder and counted, so the
-    broadcast below has a proven bound of ``max_k`` rows of ``dim`` values.
+    The pack sees at most ``max_k`` prototypes (``bounded_collect``), so the
+    broadcast of this row has a proven bound of ``max_k`` x dim values.
     """
-    protos = small_table(protos.select("q", "c"), max_k, "prototypes")
-    packed = protos.agg(F.array_sort(F.collect_list(
-        F.struct(F.col("q"), F.col("c"), V.norm("c").alias("cn")))).alias("P"),
-        F.max(F.size("c")).alias("_dim"), F.count(F.lit(1)).alias("_k"))
-    return packed
+    return bounded_collect(protos.select("q", "c"), max_k, "prototypes", F.array_sort(F.collect_list(
+        F.struct(F.col("q"), F.col("c"), V.norm("c").alias("cn")))).alias("P"))
 
 
 def score_prototypes(df: DataFrame, packed: DataFrame, vec: str = "x") -> DataFrame:
@@ -71,12 +68,12 @@ def score_prototypes(df: DataFrame, packed: DataFrame, vec: str = "x") -> DataFr
 
     ``pred`` is the q of the largest cosine; ties go to the lowest q.
     """
-    j = df.crossJoin(one_row(packed.select("P")))
+    j = df.crossJoin(one_row(packed.select("P", "_n")))
     cos = V.bind(V.norm(vec), lambda xn: F.transform("P", lambda p: V.cosine(vec, p["c"], xn, p["cn"])))
     scored = j.withColumn("cos", cos)
     return scored.withColumn("qs", F.transform("P", lambda p: p["q"])) \
         .withColumn("pred", F.element_at("qs", V.argmax("cos") + 1)) \
-        .drop("P")
+        .drop("P", "_n")
 
 
 def assign_to_prototypes(df: DataFrame, protos: DataFrame, vec: str = "x") -> DataFrame:
@@ -111,8 +108,13 @@ def lloyd_assign(df: DataFrame, centroids: DataFrame, keys: Sequence[str] = (),
     group keys (centroid table grows with the number of groups, so no broadcast).
     """
     keys = list(keys)
-    packed = centroids.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "c"))).alias("C"))
-    j = df.crossJoin(one_row(packed)) if not keys else df.join(packed, keys)
+    if keys:
+        packed = centroids.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "c"))).alias("C"))
+        j = df.join(packed, keys)
+    else:
+        packed = bounded_collect(centroids, 1 << 16, "centroids",
+                                 F.array_sort(F.collect_list(F.struct("q", "c"))).alias("C")).drop("_n")
+        j = df.crossJoin(one_row(packed))
     d = F.transform("C", lambda p: _sqdist(vec, p["c"]))
     return j.withColumn("dist", d) \
         .withColumn("pred", F.element_at(F.transform("C", lambda p: p["q"]), V.argmin("dist") + 1)) \
@@ -132,12 +134,12 @@ def kmeans_lloyd(df: DataFrame, k: int, steps: int, keys: Sequence[str] = (), id
                  vec: str = "x", checkpoint_every: int = 0) -> DataFrame:
     """Deterministic Lloyd k-means, ``steps`` iterations from the k lowest ids.
 
-    With ``checkpoint_every`` > 0 the centroid table is checkpointed to the
-    shared folder every few steps so the lineage stays short on long runs.
+    With ``checkpoint_every`` > 0 the centroid table is written to the shared
+    staging folder every few steps, so the lineage stays short on long runs.
     """
     cents = kmeans_init_lowest_ids(df, k, keys, id_col, vec)
     for s in range(steps):
         cents = lloyd_step(df, cents, keys, vec)
         if checkpoint_every and (s + 1) % checkpoint_every == 0:
-            cents = cents.checkpoint(eager=True)
+            cents = materialize(cents, f"centroids-step{s + 1}")
     return cents

@@ -12,7 +12,7 @@ from tessera.plans import q_prep
 from tessera.plans.q_match import _BATCH
 from tessera.plans.q_prep import DOCS, HASH
 from tessera.plans.registry import ORACLE, query
-from tessera.session import stage_path
+from tessera.session import materialize, stage_path
 from tessera.sources import files, tables
 
 # fixed values: gate of the metric-gated save (strictly above), plateau rule of the fit loop
@@ -150,7 +150,7 @@ def fit_loop(spark, sf_dir):
     protos = assign.class_mean_prototypes(v)
     best, bad, scale, rows = float("inf"), 0, 1.0, []
     for r in range(FIT_ROUNDS):
-        protos = protos.checkpoint(eager=True)       # k rows: cut the lineage each round
+        protos = materialize(protos, f"prototypes-fit{r}")   # k rows: cut the lineage each round
         m = _batch_acc(v, protos).first()
         saved = m["acc_batch_mean"] > STORE_THRESHOLD
         if saved:

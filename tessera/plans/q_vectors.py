@@ -85,7 +85,7 @@ def vec_linear_tanh(spark, sf_dir):
     """affine map (weights = class-mean prototype matrix, bias 0) followed by tanh."""
     v = tables.vectors(spark, sf_dir)
     packed = assign.pack_prototypes(assign.class_mean_prototypes(v))
-    j = v.crossJoin(F.broadcast(packed.select("P")))
+    j = v.crossJoin(F.broadcast(packed.select("P")))  # one row, bounded by pack_prototypes
     out = j.select("id", F.explode(F.transform("P", lambda p: F.struct(
         p["q"].alias("q"), F.tanh(V.dot("x", p["c"])).alias("value")))).alias("t"))
     return out.select("id", F.col("t.q").alias("q"), F.col("t.value").alias("value"))
