@@ -1,0 +1,24 @@
+"""Streaming scoring gives the same report as the batch flagship."""
+import os
+
+import pytest
+
+from tessera.operators import assign, metrics
+from tessera.session import stage_path
+from tessera.sources import tables
+from tessera.streaming import scoring
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_stream_report_equals_batch(spark):
+    v = tables.vectors(spark, SF)
+    protos = assign.class_mean_prototypes(v)
+    batch = metrics.clustering_report(assign.assign_to_prototypes(v, protos).select("pred", "label")).first()
+    folder = stage_path(spark, "stream-in")
+    # the arriving files: the embeddings table split into several parquet files
+    tables.table(spark, SF, "embeddings").repartition(4).write.parquet(folder)
+    rep = scoring.run_to_completion(spark, folder, protos, os.path.join(stage_path(spark, "stream-ckpt")))
+    r = rep.first()
+    for k in ("n", "matched", "ari", "nmi", "accuracy"):
+        assert r[k] == pytest.approx(batch[k])
