@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.session import small_table
+from tessera.session import bounded_collect
 
 # fixed value: weight of padding (absent) articles in the class term
 NO_ARTICLE_WEIGHT = 0.1
@@ -28,8 +28,14 @@ def long_scores(scored_pages: DataFrame) -> DataFrame:
 
 
 def articles(scored_pages: DataFrame, max_articles: int = 4096) -> DataFrame:
-    """All true article ids (labels) of the table: the padded article slots (size checked)."""
-    return small_table(scored_pages.select(F.col("label").alias("j")).distinct(), max_articles, "articles")
+    """All true article ids (labels) of the table: the padded article slots.
+
+    Packed in-plan from the distinct labels with a proven bound (``bounded_collect``),
+    then exploded back: safe to broadcast, no extra job.
+    """
+    labels = scored_pages.select(F.col("label").alias("j")).where(F.col("j").isNotNull()).distinct()
+    packed = bounded_collect(labels, max_articles, "articles", F.collect_list("j").alias("_js"))
+    return packed.select(F.explode("_js").alias("j"))
 
 
 def cost_table(scored_pages: DataFrame, term: str = "cos") -> DataFrame:
@@ -44,11 +50,14 @@ def cost_table(scored_pages: DataFrame, term: str = "cos") -> DataFrame:
         base, delta = F.abs(F.col("c") + 1), F.abs(F.col("c") - 1) - F.abs(F.col("c") + 1)
     else:
         base, delta = F.col("p"), F.lit(1.0) - 2 * F.col("p")
-    a = long.groupBy("page", "q").agg(F.sum(base).alias("_a"),
-                                      F.avg(F.when(F.col("pred") == F.col("q"), 1.0).otherwise(0.0)).alias("p_q"))
-    b = long.groupBy("page", "q", F.col("label").alias("j")).agg(F.sum(delta).alias("_b"))
-    present = scored_pages.select("page", F.col("label").alias("j")).distinct().withColumn("t_j", F.lit(1.0))
-    grid = a.crossJoin(F.broadcast(articles(scored_pages)))
+    # one pass over the paragraphs; every other table below is derived from these sums
+    b = long.groupBy("page", "q", F.col("label").alias("j")).agg(
+        F.sum(base).alias("_sb"), F.sum(delta).alias("_b"),
+        F.sum(F.when(F.col("pred") == F.col("q"), 1).otherwise(0)).alias("_np"), F.count(F.lit(1)).alias("_n"))
+    a = b.groupBy("page", "q").agg(F.sum("_sb").alias("_a"), (F.sum("_np") / F.sum("_n")).alias("p_q"))
+    present = b.select("page", "j").distinct().withColumn("t_j", F.lit(1.0))
+    grid = a.crossJoin(F.broadcast(articles(b.select(F.col("j").alias("label")))))
+    b = b.select("page", "q", "j", "_b")
     cells = grid.join(b, ["page", "q", "j"], "left").join(present, ["page", "j"], "left")
     match = F.col("_a") + F.coalesce(F.col("_b"), F.lit(0.0))
     cls = 2 * F.abs(F.col("p_q") - F.coalesce(F.col("t_j"), F.lit(0.0)))
