@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,24 +24,17 @@ MAX_PROTOTYPE_VALUES = 8_000_000
 def mean_vectors(df: DataFrame, keys: Sequence[str], vec: str = "x", out: str = "c") -> DataFrame:
     """Element-wise mean of the vectors of each group.
 
-    ``posexplode`` + ``groupBy(keys, pos).avg``: partial aggregation runs
-    before the shuffle, so only partitions x groups x dim partial sums move.
+    ``Summarizer`` is a JVM aggregate with partial aggregation: one shuffle
+    carrying partitions x groups buffers of ``dim`` values.
     """
-    keys = list(keys)
-    long = df.select(*keys, F.posexplode(vec).alias("_pos", "_v"))
-    means = long.groupBy(*keys, "_pos").agg(F.avg("_v").alias("_m"))
-    return means.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_m"))).alias("_s")
-    ).select(*keys, F.transform("_s", lambda t: t["_m"]).alias(out))
+    return df.groupBy(*list(keys)).agg(
+        vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias(out))
 
 
 def max_vectors(df: DataFrame, keys: Sequence[str], vec: str = "x", out: str = "c") -> DataFrame:
     """Element-wise max of the vectors of each group (max pooling)."""
-    keys = list(keys)
-    long = df.select(*keys, F.posexplode(vec).alias("_pos", "_v"))
-    m = long.groupBy(*keys, "_pos").agg(F.max("_v").alias("_m"))
-    return m.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_m"))).alias("_s")) \
-        .select(*keys, F.transform("_s", lambda t: t["_m"]).alias(out))
+    return df.groupBy(*list(keys)).agg(
+        vector_to_array(Summarizer.max(array_to_vector(F.col(vec)))).alias(out))
 
 
 def class_mean_prototypes(df: DataFrame, label: str = "label", vec: str = "x") -> DataFrame:
