@@ -21,6 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+try:  # ship this module's solver to Python workers by value (workers need not import tessera)
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
+
 DP_MAX_K = 12
 _NEG = "-1.0E308"
 _POS = "1.0E308"
