@@ -1,5 +1,5 @@
 """Training-data operators: queries and oracle SQL, registered by import."""
-from tessera.llm import bpe_reuse, exact_dedup, language_id, mixing, simhash_cover, token_counts, toxicity  # noqa: F401
+from tessera.llm import bpe_reuse, exact_dedup, language_id, mixing, multiprobe, simhash_cover, token_counts, toxicity  # noqa: F401
 from tessera.llm.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
