@@ -27,14 +27,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ddl, per_worker, prepare, read, slices
 from tessera.llm.registry import query
-from tessera.llm.units import first_break, last_break, load_tokenizer, split_units, tokenizer_blob
+from tessera.llm.units import UnitCache, UnitEncoder, first_break, last_break, split_units, tokenizer_blob
 
 WINDOW = 16                 # characters under the rolling hash
 MASK_BITS = 10              # a cut about every 2 ** MASK_BITS characters
 LEAST, MOST = 256, 8192     # characters of a chunk
 STORE_CHARS = 16 << 20      # characters of the chunks a worker stores
-CACHE_PIECES = 300_000      # units whose ids a worker stores
-CACHE_PIECE_CHARS = 200
+CACHE_PIECES = 600_000      # units whose ids a worker stores
 _BASE = 0x9E3779B1          # odd multiplier of the rolling hash
 
 
@@ -64,30 +63,11 @@ def cut_points(text: str) -> list[int]:
     return ends
 
 
-class _Ids(dict):
-    """unit -> its ids as bytes (little-endian, 4 each), a bounded cache."""
-
-    def __init__(self, tok):
-        super().__init__()
-        self.tok = tok
-
-    def encode(self, unit: str) -> bytes:
-        return np.array(self.tok.encode(unit, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(" " + piece)
-        if len(piece) <= CACHE_PIECE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class ChunkEncoder:
     """Encodes texts chunk by chunk; chunks met before come from the store."""
 
-    def __init__(self, tok, store_chars: int = STORE_CHARS):
-        self.tok, self.ids, self.store, self.room = tok, _Ids(tok), {}, store_chars
+    def __init__(self, units: UnitEncoder, store_chars: int = STORE_CHARS):
+        self.units, self.ids, self.store, self.room = units, UnitCache(units, np.ndarray.tobytes, CACHE_PIECES), {}, store_chars
         self.encoded = self.reused = 0
 
     def _chunk(self, chunk: str) -> tuple[str, bytes, str | None]:
@@ -101,7 +81,7 @@ class ChunkEncoder:
             parts = (chunk, b"", None)
         else:
             j = last_break(chunk)
-            body = b"".join(map(self.ids.__getitem__, split_units(chunk[i + 1:j]))) if j > i else b""
+            body = b"".join(self.ids.lookup(split_units(chunk[i + 1:j]))) if j > i else b""
             parts = (chunk[:i], body, chunk[j:])
         while self.store and self.room < len(chunk):
             self.room += len(old := next(iter(self.store)))
@@ -111,6 +91,12 @@ class ChunkEncoder:
             self.room -= len(chunk)
         return parts
 
+    def _seam(self, seam: str) -> bytes:
+        """Ids of what lies between two bodies: tail and head of the chunks that meet, encoded as one."""
+        if not seam:
+            return b""
+        return next(self.ids.lookup([seam[1:]])) if seam[0] == " " and len(seam) > 1 else self.units.one(seam).tobytes()
+
     def __call__(self, text: str) -> bytes:
         out, seam, start = [], "", 0
         for end in cut_points(text):
@@ -119,9 +105,9 @@ class ChunkEncoder:
             seam += head
             if tail is None:
                 continue            # no break yet: the seam goes on
-            out += (self.ids.encode(seam), body)
+            out += (self._seam(seam), body)
             seam = tail
-        out.append(self.ids.encode(seam) if seam else b"")
+        out.append(self._seam(seam))
         return b"".join(out)
 
 
@@ -136,8 +122,8 @@ def encode_decode(docs: DataFrame, blob: bytes, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make():
-            own = load_tokenizer(sent.value)
-            return own, ChunkEncoder(own)
+            own = UnitEncoder(sent.value)
+            return own.tok, ChunkEncoder(own)
 
         own, encode = per_worker(("bpe", key), make, keep=1)
         for batch in slices(batches, 128):

@@ -24,13 +24,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ddl, per_worker, prepare, read, slices, stage
 from tessera.llm.registry import query
-from tessera.llm.units import load_tokenizer, split_units, tokenizer_blob
+from tessera.llm.units import UnitCache, UnitEncoder, split_units, tokenizer_blob
 
 TABLE_PIECES = 1 << 15      # entries of the broadcast table
 PIECE_CHARS = 40            # longest piece in it
 SUMMARY_PIECES = 1 << 17    # pieces a partition's summary holds before it is pruned to the heaviest half
-CACHE_PIECES = 400_000      # entries of a worker's cache
-CACHE_PIECE_CHARS = 200     # longer pieces are encoded without caching
+CACHE_PIECES = 600_000      # entries of a worker's cache
 MERGE_WAYS = 16
 
 _SUMMARY = "node long, pieces array<string>, counts array<long>"
@@ -79,21 +78,17 @@ def frequent_pieces(docs: DataFrame, text_col: str = "text") -> list[str]:
     return list(row["pieces"]) if row else []
 
 
-class _Lengths(dict):
+class _Lengths:
     """piece -> tokens of " " + piece: the broadcast table, then a bounded cache of what was encoded."""
 
-    def __init__(self, tok, pieces: list[str], lengths: np.ndarray):
-        super().__init__(zip(pieces, lengths.tolist()))
-        self.tok, self.fixed = tok, dict(self)
+    def __init__(self, units: UnitEncoder, pieces: list[str], lengths: np.ndarray):
+        self.table = dict(zip(pieces, lengths.tolist()))
+        self.cache = UnitCache(units, len, CACHE_PIECES)
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.tok.encode(" " + piece, add_special_tokens=False).ids)
-        if len(piece) <= CACHE_PIECE_CHARS:
-            if len(self) - len(self.fixed) >= CACHE_PIECES:
-                self.clear()
-                self.update(self.fixed)
-            self[piece] = n
-        return n
+    def total(self, pieces: list[str]) -> int:
+        found = list(map(self.table.get, pieces))
+        missed = [p for p, n in zip(pieces, found) if n is None]
+        return sum(filter(None, found)) + sum(self.cache.lookup(missed))
 
 
 def token_counts(docs: DataFrame, blob: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,27 +96,23 @@ def token_counts(docs: DataFrame, blob: bytes, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     prepare(spark)
     pieces = frequent_pieces(docs, text_col)
-    tok = load_tokenizer(blob)
-    lengths = np.array([len(e.ids) for e in tok.encode_batch([" " + p for p in pieces], add_special_tokens=False)],
-                       dtype=np.uint16)
+    lengths = np.array(list(map(len, UnitEncoder(blob).many(pieces))), dtype=np.uint16)
     key = uuid.uuid4().hex
     sent = spark.sparkContext.broadcast((blob, "\x00".join(pieces).encode(), lengths))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make():
             raw, packed, each = sent.value
-            own = load_tokenizer(raw)
+            own = UnitEncoder(raw)
             return own, _Lengths(own, packed.decode().split("\x00") if len(each) else [], each)
 
         own, known = per_worker(("token_counts", key), make, keep=1)
-        lookup = known.__getitem__
         for batch in slices(batches):
             n_bytes, n_tokens = [], []
             for text in batch.column(1).to_pylist():
                 units = split_units(text or "")
                 n_bytes.append(len((text or "").encode()))
-                n_tokens.append(len(own.encode(units[0], add_special_tokens=False).ids)
-                                + sum(map(lookup, units[1:])))
+                n_tokens.append(len(own.one(units[0])) + known.total(units[1:]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())],
                 [id_col, "n_bytes", "n_tokens"])
