@@ -316,8 +316,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text",
-                keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (all by default) and ``toxicity``, the score of each whole text."""
+                keep: list[str] | None = None, out: str = "toxicity") -> DataFrame:
+    """Columns ``keep`` (all by default) and ``out``, the score of each whole text."""
     spark = docs.sparkSession
     prepare(spark)
     keep = docs.columns if keep is None else keep
@@ -330,16 +330,16 @@ def score_texts(docs: DataFrame, model: ToxicityModel | None, text_col: str = "t
         for batch in slices(batches):
             texts = batch.column(len(keep)).to_pylist()
             p = own[0].probability(own[0].decisions(own[1], texts)) if own else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(p)], [*keep, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(p)], [*keep, out])
 
     columns = [F.col(f"`{c}`") for c in keep]
     rows = docs.select(*columns, F.col(f"`{text_col}`").alias("_text"))
-    return rows.mapInArrow(run, ddl(docs, keep) + ", toxicity double")
+    return rows.mapInArrow(run, ddl(docs, keep) + f", `{out}` double")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that score ``threshold`` or more."""
-    return score_texts(docs, model).where(F.col("toxicity") < threshold).select(
+    return score_texts(docs, model, out="_toxicity_score").where(F.col("_toxicity_score") < threshold).select(
         *[F.col(f"`{c}`") for c in docs.columns])
 
 
