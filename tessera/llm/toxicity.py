@@ -45,7 +45,7 @@ TOXIC_LANDMARKS, OTHER_LANDMARKS = 160, 64
 ROUNDS = 5
 DISGUISE_WEIGHT = 0.2       # of a disguised witness in training
 COST = 10.0
-HARD_UNITS, OTHER_UNITS = 6_000, 6_000      # counter-examples: hardest of each round, drawn once
+HARD_UNITS, OTHER_UNITS = 3_000, 5_000      # counter-examples: hardest of each round, drawn once
 THRESHOLD = 0.3
 _LONG, _STRIDE = 32, 16
 _SPACED = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){2,}(?![^\s.,;:!?])")
@@ -136,7 +136,7 @@ class LandmarkKernel:
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weights (bias last, unpenalised almost) of a linear squared-hinge SVM, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     penalty = np.ones(x.shape[1])
     penalty[-1] = 1e-3
     w, margin = np.zeros(x.shape[1]), y * 0.0
@@ -147,7 +147,7 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     now = cost(w, margin)
     for _ in range(100):
         active = margin < 1
-        xa, wa = x[active], weight[active]
+        xa, wa = x[active].astype(np.float64), weight[active]
         step = np.linalg.solve(np.diag(penalty) + (xa * wa[:, None]).T @ xa, xa.T @ (wa * y[active])) - w
         along, t = y * (x @ step), 1.0
         while t > 1e-6 and (after := cost(w + t * step, margin + t * along)) > now:
@@ -175,8 +175,9 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 class Matched:
     """The matches of many units with a table, found once, for values under changing weights."""
 
-    def __init__(self, table: SubsequenceTable, units: list[str]):
-        found = [(u.astype(np.int32), a.astype(np.int32), np.full(len(u), w, np.float32)) for u, a, w in table.matches(units)]
+    def __init__(self, table: SubsequenceTable, units: list[str], block: int = 20_000):
+        found = [(u.astype(np.int32) + np.int32(first), a.astype(np.int32), np.full(len(u), w, np.float32))
+                 for first in range(0, len(units), block) for u, a, w in table.matches(units[first:first + block])]
         self.unit, self.at, self.weight = (np.concatenate(x) for x in zip(*found))
         self.norms = norms(units)
 
@@ -280,7 +281,7 @@ def fit(rows: list[tuple[int, bool, str]], prior: float) -> ToxicityModel | None
         hard = np.union1d(hard, np.argsort(-f_others, kind="stable")[:HARD_UNITS])
         shown = [seen[i] for i in names]
         bent = [v for i in names if witness[i] >= several for v in disguised(seen[i], i) if v not in clean]
-        x = kernel(shown + bent + [others[i] for i in hard]).astype(np.float64) @ whiten
+        x = kernel(shown + bent + [others[i] for i in hard]) @ whiten.astype(np.float32)
         y = np.concatenate([np.ones(len(shown) + len(bent)), -np.ones(len(hard))])
         times = np.concatenate([np.sqrt([witness[i] for i in names]), np.full(len(bent), DISGUISE_WEIGHT)])
         total = max(len(times), 0.2 * np.sqrt(often[hard]).sum())
