@@ -1,21 +1,25 @@
 """Prototype fitting, cosine scoring against prototypes, and k-means.
 
 Scoring plan: the k prototypes are packed into ONE row
-``array<struct<q, c, cn>>`` (size checked: k x dim values) and broadcast;
+``array<struct<q, c, cn>>`` (k x dim values, measured first) and broadcast;
 each vector row computes its k cosines with ``transform`` and takes the
-argmax in place. No shuffle, no N x k x dim long table.
+argmax in place. No shuffle, no N x k x dim long table. More prototypes than
+one row may hold are scored in blocks.
 """
 from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import vectors as V
-from tessera.session import bounded_collect, materialize, one_row
+from tessera.session import materialize, one_row
 
 # bound on prototypes (k x dim doubles) held in one broadcast row
 MAX_PROTOTYPE_VALUES = 8_000_000
@@ -48,31 +52,51 @@ def first_id_prototypes(df: DataFrame, label: str = "label", vec: str = "x", id_
     return df.join(firsts, df[id_col] == firsts["_id"]).select("q", F.col(vec).alias("c"))
 
 
-def pack_prototypes(protos: DataFrame, max_k: int = 4096) -> DataFrame:
-    """Pack (q, c) into one broadcast-safe row ``P`` sorted by q.
-
-    The pack sees at most ``max_k`` prototypes (``bounded_collect``), so the
-    broadcast of this row has a proven bound of ``max_k`` x dim values.
-    """
-    return bounded_collect(protos.select("q", "c"), max_k, "prototypes", F.array_sort(F.collect_list(
+def pack_prototypes(protos: DataFrame) -> DataFrame:
+    """All (q, c) in one row ``P`` sorted by q; for tables whose size was checked."""
+    return protos.agg(F.array_sort(F.collect_list(
         F.struct(F.col("q"), F.col("c"), V.norm("c").alias("cn")))).alias("P"))
 
 
+def _cosines(vec: str):
+    return V.bind(V.norm(vec), lambda xn: F.transform("P", lambda p: V.cosine(vec, p["c"], xn, p["cn"])))
+
+
 def score_prototypes(df: DataFrame, packed: DataFrame, vec: str = "x") -> DataFrame:
     """Adds ``cos`` (k cosines ordered by q), ``qs`` (the q values) and ``pred``.
 
     ``pred`` is the q of the largest cosine; ties go to the lowest q.
     """
-    j = df.crossJoin(one_row(packed.select("P", "_n")))
-    cos = V.bind(V.norm(vec), lambda xn: F.transform("P", lambda p: V.cosine(vec, p["c"], xn, p["cn"])))
-    scored = j.withColumn("cos", cos)
+    scored = df.crossJoin(one_row(packed)).withColumn("cos", _cosines(vec))
     return scored.withColumn("qs", F.transform("P", lambda p: p["q"])) \
-        .withColumn("pred", F.element_at("qs", V.argmax("cos") + 1)) \
-        .drop("P", "_n")
+        .withColumn("pred", F.element_at("qs", V.argmax("cos") + 1)).drop("P")
+
+
+def score_in_blocks(df: DataFrame, protos: DataFrame, blocks: int, vec: str = "x") -> DataFrame:
+    """``score_prototypes`` for any number of prototypes: they are dealt to ``blocks`` rows, each vector meets
+    one block at a time, and the parts of a vector are put together again by its row number."""
+    packed = protos.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(blocks))).groupBy("_b").agg(F.array_sort(
+        F.collect_list(F.struct(F.col("q"), F.col("c"), V.norm("c").alias("cn")))).alias("P"))
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    part = rows.crossJoin(packed.drop("_b")).withColumn("_cos", _cosines(vec)).select(
+        *rows.columns, F.arrays_zip(F.transform("P", lambda p: p["q"]).alias("q"), F.col("_cos").alias("cos")).alias("_part"))
+    whole = part.groupBy("_row").agg(*[F.first(c).alias(c) for c in df.columns],
+                                     F.array_sort(F.flatten(F.collect_list("_part"))).alias("_all")).drop("_row")
+    return (whole.withColumn("cos", F.transform("_all", lambda t: t["cos"])).withColumn("qs", F.transform("_all", lambda t: t["q"]))
+            .withColumn("pred", F.element_at("qs", V.argmax("cos") + 1)).drop("_all"))
 
 
 def assign_to_prototypes(df: DataFrame, protos: DataFrame, vec: str = "x") -> DataFrame:
-    return score_prototypes(df, pack_prototypes(protos), vec)
+    """Score every vector against all prototypes (those without a class are no prototypes).
+
+    The prototypes are written once and measured: up to ``MAX_PROTOTYPE_VALUES`` values they are one broadcast
+    row, beyond that they are scored in blocks of that size.
+    """
+    protos = materialize(protos.where(F.col("q").isNotNull()).select("q", "c"), "prototypes")
+    values = protos.agg(F.sum(F.size("c"))).first()[0] or 0
+    if values <= MAX_PROTOTYPE_VALUES:
+        return score_prototypes(df, pack_prototypes(protos), vec)
+    return score_in_blocks(df, protos, -(-values // MAX_PROTOTYPE_VALUES), vec)
 
 
 # ---- k-means (Lloyd), optionally per group --------------------------------------------
@@ -107,8 +131,8 @@ def lloyd_assign(df: DataFrame, centroids: DataFrame, keys: Sequence[str] = (),
         packed = centroids.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "c"))).alias("C"))
         j = df.join(packed, keys)
     else:
-        packed = bounded_collect(centroids, 1 << 16, "centroids",
-                                 F.array_sort(F.collect_list(F.struct("q", "c"))).alias("C")).drop("_n")
+        # as many centroids as the caller's k
+        packed = centroids.agg(F.array_sort(F.collect_list(F.struct("q", "c"))).alias("C"))
         j = df.crossJoin(one_row(packed))
     d = F.transform("C", lambda p: _sqdist(vec, p["c"]))
     return j.withColumn("dist", d) \
@@ -125,16 +149,48 @@ def lloyd_step(df: DataFrame, centroids: DataFrame, keys: Sequence[str] = (), ve
         *keys, "q", F.coalesce("c_new", "c").alias("c"))
 
 
-def kmeans_lloyd(df: DataFrame, k: int, steps: int, keys: Sequence[str] = (), id_col: str = "id",
-                 vec: str = "x", checkpoint_every: int = 0) -> DataFrame:
-    """Deterministic Lloyd k-means, ``steps`` iterations from the k lowest ids.
+def kmeans_lloyd(df: DataFrame, k: int, steps: int | None = None, id_col: str = "id", vec: str = "x",
+                 most_steps: int = 1000) -> DataFrame:
+    """Deterministic Lloyd k-means over the whole table from the k lowest ids: ``steps`` steps, or until no
+    centroid moves (an error if ``most_steps`` steps don't get there).
+
+    The k x dim centroids of a step come to the driver (k is the caller's), so there is one job a step and no lineage.
+    """
+    spark = df.sparkSession
+    kinds = dict(df.dtypes)
+    schema = f"q int, c {kinds[vec]}"
+
+    def fetched(cents: DataFrame) -> dict[int, list[float]]:
+        return {r["q"]: list(r["c"]) for r in cents.select("q", "c").collect()}
+
+    now = fetched(kmeans_init_lowest_ids(df, k, (), id_col, vec))
+    for _ in range(most_steps if steps is None else steps):
+        before = now
+        now = fetched(lloyd_step(df, spark.createDataFrame(sorted(now.items()), schema), (), vec))
+        if steps is None and all(abs(x - y) <= 1e-12 for q in now for x, y in zip(now[q], before[q])):
+            break
+    else:
+        if steps is None:
+            raise RuntimeError(f"k-means still moves after {most_steps} steps")
+    return spark.createDataFrame(sorted(now.items()), schema)
+
+
+def kmeans_in_groups(df: DataFrame, k: int, key: str, id_col: str = "id", vec: str = "x", most_steps: int = 1000) -> DataFrame:
+    """``df`` with ``pred``: Lloyd k-means inside each group (a batch), from its k lowest ids until no centroid moves.
 
-    With ``checkpoint_every`` > 0 the centroid table is written to the shared
-    staging folder every few steps, so the lineage stays short on long runs.
+    One shuffle: a group is packed once and iterated in place.
     """
-    cents = kmeans_init_lowest_ids(df, k, keys, id_col, vec)
-    for s in range(steps):
-        cents = lloyd_step(df, cents, keys, vec)
-        if checkpoint_every and (s + 1) % checkpoint_every == 0:
-            cents = materialize(cents, f"centroids-step{s + 1}")
-    return cents
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col).reset_index(drop=True)
+        x = np.array(pdf[vec].tolist(), dtype=np.float64)
+        cents = x[:k].copy()
+        for _ in range(most_steps):
+            d = ((x[:, None, :] - cents[None]) ** 2).sum(axis=2)
+            near = d.argmin(axis=1)
+            new = np.array([x[near == q].mean(axis=0) if (near == q).any() else cents[q] for q in range(len(cents))])
+            if np.abs(new - cents).max() <= 1e-12:
+                return pdf.assign(pred=near.astype("int32"))
+            cents = new
+        raise RuntimeError(f"k-means of a group still moves after {most_steps} steps")
+
+    return df.groupBy(key).applyInPandas(fit, T.StructType([*df.schema.fields, T.StructField("pred", T.IntegerType())]))

@@ -4,85 +4,53 @@ Input is always a long cell table ``(keys..., row, col, value)`` with at most
 k x k cells per group (a contingency table or a cost table), so every group
 is bounded by k^2 rows whatever the size of the data behind it.
 
-- Optimal matching (max overlap or min cost): for k <= ``DP_MAX_K`` a bitmask
-  dynamic programme evaluated by one ``aggregate`` over ``sequence(1, 2^k-1)``
-  on the packed k x k matrix (JVM side, one row per group). Larger groups go to
-  a grouped ``applyInPandas`` shortest-augmenting-path solver in numpy.
-  Both branches live in the same plan, split by a filter on k.
+- Optimal matching (max overlap or min cost): each group is packed into one row of
+  flat arrays and solved by shortest augmenting paths in numpy, O(k^3), inside
+  ``mapInArrow``; one solver for every group size, totals and pairs together.
 - Greedy matching: cells sorted by (-value, row order, col order), folded with
   used-row / used-col sets; equal to repeated delete-the-max.
 """
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-try:  # ship this module's solver to Python workers by value (workers need not import tessera)
-    import sys as _sys
+from tessera.session import ship_package
 
-    from pyspark import cloudpickle as _cp
-    _cp.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001
-    pass
 
-DP_MAX_K = 12
-_NEG = "-1.0E308"
-_POS = "1.0E308"
-
-
-def pack_cells(cells: DataFrame, keys: Sequence[str], row: str, col: str, value: str) -> DataFrame:
+def pack_cells(cells: DataFrame, keys: Sequence[str], row: str, col: str, value: str,
+               pad: str | None = None) -> DataFrame:
     """One row per group holding its (<= k^2) cells.
 
     Columns: ``_rows`` / ``_cols`` (sorted distinct row and column values),
     ``_k`` (square size), ``_cells`` (array of (_i, _j, _v, _r, _c) with 0-based
-    indices into ``_rows`` / ``_cols``) and ``_w`` (map _i * _k + _j -> value).
+    indices into ``_rows`` / ``_cols``) and ``_pad`` (per row, the value of a column that is
+    not there; 0 unless ``pad`` names a column that is constant along each row).
     """
     keys = list(keys)
-    g = cells.groupBy(*keys).agg(F.collect_list(F.struct(
-        F.col(row).alias("_r"), F.col(col).alias("_c"), F.col(value).cast("double").alias("_v"))).alias("_raw"))
-    return (g.withColumn("_rows", F.expr("array_sort(array_distinct(transform(_raw, c -> c._r)))"))
-            .withColumn("_cols", F.expr("array_sort(array_distinct(transform(_raw, c -> c._c)))"))
-            .withColumn("_k", F.greatest(F.size("_rows"), F.size("_cols")))
-            .withColumn("_cells", F.expr(
-                "transform(_raw, c -> named_struct('_i', CAST(array_position(_rows, c._r) - 1 AS INT), "
-                "'_j', CAST(array_position(_cols, c._c) - 1 AS INT), '_v', c._v, '_r', c._r, '_c', c._c))"))
-            .withColumn("_w", F.expr("map_from_entries(transform(_cells, c -> struct(c._i * _k + c._j, c._v)))"))
-            .drop("_raw"))
-
-
-def _dp_expr(mode: str, with_choice: bool) -> str:
-    """Bitmask DP over one packed group: dp[mask] = best total using rows 0..|mask|-1.
-
-    The dense weights and k ride in the accumulator, so they are evaluated once
-    per group instead of once per lambda call.
-    """
-    pick = "array_max" if mode == "max" else "array_min"
-    bad = _NEG if mode == "max" else _POS
-    w = "transform(sequence(0, _k * _k - 1), t -> coalesce(try_element_at(_w, t), 0D))"
-    cand = (f"transform(sequence(0, acc.k - 1), j -> IF((shiftright(m, j) & 1) = 1, "
-            f"acc.best[m - shiftleft(1, j)] + acc.w[(bit_count(m) - 1) * acc.k + j], {bad}))")
-    if not with_choice:
-        return (f"aggregate(sequence(1, shiftleft(1, _k) - 1), "
-                f"named_struct('best', array(0D), 'w', {w}, 'k', _k), "
-                f"(acc, m) -> named_struct('best', concat(acc.best, array({pick}({cand}))), "
-                f"'w', acc.w, 'k', acc.k), acc -> element_at(acc.best, -1))")
-    # keep the arg-best column of each mask to recover the pairs
-    return (f"aggregate(sequence(1, shiftleft(1, _k) - 1), "
-            f"named_struct('best', array(0D), 'choice', array(-1), 'w', {w}, 'k', _k), "
-            f"(acc, m) -> named_struct("
-            f"'best', concat(acc.best, array({pick}({cand}))), "
-            f"'choice', concat(acc.choice, array(CAST(array_position({cand}, {pick}({cand})) - 1 AS INT))), "
-            f"'w', acc.w, 'k', acc.k))")
+    within = Window.partitionBy(*keys)
+    c = cells.select(*keys, F.col(row).alias("_r"), F.col(col).alias("_c"), F.col(value).cast("double").alias("_v"),
+                     (F.col(pad).cast("double") if pad else F.lit(0.0)).alias("_p"))
+    c = (c.withColumn("_i", (F.dense_rank().over(within.orderBy("_r")) - 1).cast("int"))
+         .withColumn("_j", (F.dense_rank().over(within.orderBy("_c")) - 1).cast("int")))
+    g = c.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.struct("_i", "_r", "_p"))).alias("_rs"),
+        F.array_sort(F.collect_set(F.struct("_j", "_c"))).alias("_cs"),
+        F.collect_list(F.struct("_i", "_j", "_v", "_r", "_c")).alias("_cells"))
+    return (g.withColumn("_rows", F.transform("_rs", lambda x: x["_r"])).withColumn("_cols", F.transform("_cs", lambda x: x["_c"]))
+            .withColumn("_pad", F.transform("_rs", lambda x: x["_p"]))
+            .withColumn("_k", F.greatest(F.size("_rows"), F.size("_cols"))).drop("_rs", "_cs"))
 
 
 def _solve_dense(cost: np.ndarray) -> np.ndarray:
     """Min-cost assignment of a square matrix (shortest augmenting paths with potentials).
 
-    Returns ``col_of_row``. O(k^3); used for groups larger than the DP bound.
+    Returns ``col_of_row``. O(k^3).
     """
     n = cost.shape[0]
     u = np.zeros(n + 1)
@@ -125,66 +93,79 @@ def _solve_dense(cost: np.ndarray) -> np.ndarray:
     return col_of_row
 
 
-def matched_column(mode: str = "max") -> str:
-    """SQL expression of the DP total on a row holding ``_k`` and the cell map ``_w``."""
-    return _dp_expr(mode, with_choice=False)
+def _dense(k: int, n_rows: int, n_cols: int, cells: dict[str, np.ndarray], pad: np.ndarray) -> np.ndarray:
+    """Square matrix of a packed group; absent columns hold their row's padding value."""
+    w = np.zeros((k, k))
+    w[:n_rows, n_cols:] = pad[:, None]
+    w[cells["_i"], cells["_j"]] = cells["_v"]
+    return w
 
 
 def with_matching(packed: DataFrame, mode: str = "max", out: str = "total") -> DataFrame:
-    """Adds the optimal matching total to packed rows (``_k``, ``_cells``, ``_w`` per group).
-
-    Rows with k <= DP_MAX_K use the JVM-side DP; the others are solved by a
-    numpy solver in ``mapInPandas`` on the same packed rows (no shuffle).
-    """
-    small = packed.where(F.col("_k") <= DP_MAX_K).withColumn(out, F.expr(matched_column(mode)))
-    cols = packed.columns
-    base = packed.drop("_w")
-    schema = base.schema.add(out, "double")
-
-    def solve(batches):
-        for pdf in batches:
-            totals = []
-            for cells, k in zip(pdf["_cells"], pdf["_k"]):
-                w = np.zeros((int(k), int(k)))
-                for c in cells:
-                    w[int(c["_i"]), int(c["_j"])] = float(c["_v"])
-                cols = _solve_dense(-w if mode == "max" else w)
-                totals.append(float(w[np.arange(int(k)), cols].sum()))
-            yield pdf.assign(**{out: totals})
-
-    big = base.where(F.col("_k") > DP_MAX_K).mapInPandas(solve, schema).withColumn(
-        "_w", F.expr("map_from_entries(transform(_cells, c -> struct(c._i * _k + c._j, c._v)))"))
-    return small.unionByName(big.select(*cols, out))
+    """Adds the optimal matching total and its (i, j) index pairs ``_mi``, ``_mj`` to packed rows; no shuffle."""
+    ship_package(packed.sparkSession)
+    schema = T.StructType([*packed.schema.fields, T.StructField(out, T.DoubleType()),
+                           T.StructField("_mi", T.ArrayType(T.IntegerType())), T.StructField("_mj", T.ArrayType(T.IntegerType()))])
+    names = packed.columns
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            totals, rows, cols = [], [], []
+            cells, pads = batch.column(names.index("_cells")), batch.column(names.index("_pad"))
+            for g in range(batch.num_rows):
+                fields = cells[g].values
+                flat = {n: fields.field(n).to_numpy(zero_copy_only=False) for n in ("_i", "_j", "_v")}
+                pad = pads[g].values.to_numpy(zero_copy_only=False)
+                k = batch.column(names.index("_k"))[g].as_py()
+                w = _dense(k, len(pad), int(flat["_j"].max()) + 1, flat, pad)
+                match = _solve_dense(-w if mode == "max" else w)
+                totals.append(float(w[np.arange(k), match].sum()))
+                rows.append(list(range(k)))
+                cols.append(match.tolist())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(totals, pa.float64()), pa.array(rows, pa.list_(pa.int32())),
+                 pa.array(cols, pa.list_(pa.int32()))], [*names, out, "_mi", "_mj"])
+
+    return packed.mapInArrow(solve, schema)
 
 
 def assignment_total(cells: DataFrame, keys: Sequence[str], row: str, col: str, value: str,
-                     mode: str = "max", out: str = "total") -> DataFrame:
+                     mode: str = "max", out: str = "total", pad: str | None = None) -> DataFrame:
     """Best 1:1 matching total per group (``mode`` = "max" or "min")."""
-    keys = list(keys)
-    packed = pack_cells(cells, keys, row, col, value)
-    return with_matching(packed, mode, out).select(*keys, out)
+    return with_matching(pack_cells(cells, keys, row, col, value, pad), mode, out).select(*keys, out)
 
 
 def assignment_pairs(cells: DataFrame, keys: Sequence[str], row: str, col: str, value: str,
-                     mode: str = "max") -> DataFrame:
-    """Matched (row, col, value) pairs per group (k <= DP_MAX_K).
+                     mode: str = "max", pad: str | None = None, padding: bool = False) -> DataFrame:
+    """Matched (row, col, value) pairs per group, any group size.
 
     With ties, the chosen pairs may differ from another solver's; the total does not.
-    Padding rows or columns (square completion) are left out.
+    Rows matched to a padded column are left out, or kept with a null column if ``padding``.
     """
     keys = list(keys)
-    packed = pack_cells(cells, keys, row, col, value).where(F.col("_k") <= DP_MAX_K) \
-        .withColumn("_dp", F.expr(_dp_expr(mode, with_choice=True)))
-    walk = F.expr(
-        "aggregate(sequence(_k - 1, 0, -1), "
-        "named_struct('mask', shiftleft(1, _k) - 1, 'pairs', array(named_struct('i', -1, 'j', -1))), "
-        "(acc, i) -> named_struct("
-        "'mask', acc.mask - shiftleft(1, _dp.choice[acc.mask]), "
-        "'pairs', array_append(acc.pairs, named_struct('i', i, 'j', _dp.choice[acc.mask]))), "
-        "acc -> filter(acc.pairs, p -> p.i >= 0 AND p.i < size(_rows) AND p.j < size(_cols)))")
-    pairs = packed.select(*keys, "_k", "_w", "_rows", "_cols", F.explode(walk).alias("_p"))
-    return pairs.select(*keys, F.expr("_rows[_p.i]").alias(row), F.expr("_cols[_p.j]").alias(col),
-                        F.expr("coalesce(try_element_at(_w, _p.i * _k + _p.j), 0D)").alias("value"))
+    d = with_matching(pack_cells(cells, keys, row, col, value, pad), mode)
+    inside = "p._mi < size(_rows)" + ("" if padding else " AND p._mj < size(_cols)")
+    pairs = d.select(*keys, "_rows", "_cols", F.explode(F.expr(f"filter(arrays_zip(_mi, _mj), p -> {inside})")).alias("_p")).select(
+        *keys, F.expr("_rows[_p._mi]").alias(row), F.expr("get(_cols, _p._mj)").alias(col))
+    # the value of a pair without a cell is 0
+    known = cells.select(*keys, row, col, F.col(value).cast("double").alias("value"))
+    return pairs.join(known, [*keys, row, col], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def greedy_cell(row_order: str, col_order: str, value: str):
+    """A cell as a struct whose order is that of the greedy choice."""
+    return F.struct((-F.col(value).cast("double")).alias("nv"), F.col(row_order).cast("long").alias("r"),
+                    F.col(col_order).cast("long").alias("c"), F.col(value).cast("double").alias("v"))
+
+
+def greedy_fold(cells: str):
+    """Greedy total of a sorted array of ``greedy_cell``: each cell whose row and column are still free counts."""
+    return F.expr(
+        f"aggregate({cells}, named_struct('ur', cast(array() as array<bigint>), "
+        "'uc', cast(array() as array<bigint>), 't', 0D), "
+        "(acc, x) -> IF(array_contains(acc.ur, x.r) OR array_contains(acc.uc, x.c), acc, "
+        "named_struct('ur', array_append(acc.ur, x.r), 'uc', array_append(acc.uc, x.c), 't', acc.t + x.v)), "
+        "acc -> acc.t)")
 
 
 def greedy_total(cells: DataFrame, keys: Sequence[str], row_order: str, col_order: str,
@@ -194,13 +175,5 @@ def greedy_total(cells: DataFrame, keys: Sequence[str], row_order: str, col_orde
     Ties go to the first cell in (row_order, col_order) order.
     """
     keys = list(keys)
-    packed = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col(value).cast("double")).alias("nv"), F.col(row_order).cast("long").alias("r"),
-        F.col(col_order).cast("long").alias("c"), F.col(value).cast("double").alias("v")))).alias("_s"))
-    fold = F.expr(
-        "aggregate(_s, named_struct('ur', cast(array() as array<bigint>), "
-        "'uc', cast(array() as array<bigint>), 't', 0D), "
-        "(acc, x) -> IF(array_contains(acc.ur, x.r) OR array_contains(acc.uc, x.c), acc, "
-        "named_struct('ur', array_append(acc.ur, x.r), 'uc', array_append(acc.uc, x.c), 't', acc.t + x.v)), "
-        "acc -> acc.t)")
-    return packed.select(*keys, fold.alias(out))
+    packed = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(greedy_cell(row_order, col_order, value))).alias("_s"))
+    return packed.select(*keys, greedy_fold("_s").alias(out))

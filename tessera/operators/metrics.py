@@ -13,7 +13,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.matching import greedy_total, pack_cells, with_matching
+from tessera.functions import vectors as V
+from tessera.operators.matching import greedy_cell, greedy_fold, pack_cells, with_matching
 
 
 def contingency(df: DataFrame, keys: Sequence[str] = (), pred: str = "pred",
@@ -53,11 +54,14 @@ def _info_expr() -> str:
             "'sb2', aggregate(acc.b, 0D, (s, x) -> s + x * x)))")
 
 
-def report_from_packed(packed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """n, matched, acc, ari, nmi, accuracy and micro P/R/F1 from packed contingency rows."""
+def report_from_packed(packed: DataFrame, keys: Sequence[str] = (), matching: bool = True) -> DataFrame:
+    """n, matched, acc, ari, nmi, accuracy and micro P/R/F1 from packed contingency rows.
+
+    Without ``matching`` there is no ``matched`` and ``acc``, and no Python in the plan.
+    """
     keys = list(keys)
-    d = with_matching(packed, "max", "matched").withColumn("_st", F.expr(_stats_expr())) \
-        .withColumn("_in", F.expr(_info_expr()))
+    d = with_matching(packed, "max", "matched") if matching else packed
+    d = d.withColumn("_st", F.expr(_stats_expr())).withColumn("_in", F.expr(_info_expr()))
     nn = F.col("_st.n")
     sij2 = F.col("_st.sij2")
     tp = sij2 - nn
@@ -70,21 +74,25 @@ def report_from_packed(packed: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     nmi = (F.when((F.size("_cols") == 1) & (F.size("_rows") == 1), F.lit(1.0))
            .when(F.abs(mi_raw) < F.lit(1e-15), F.lit(0.0))
            .otherwise(F.greatest(mi_raw, F.lit(0.0)) / ((F.col("_in.ht") + F.col("_in.hp")) / 2.0)))
-    accuracy = F.col("_st.tp") / nn
-    f1 = F.when(accuracy == 0, F.lit(0.0)).otherwise(2 * accuracy * accuracy / (accuracy + accuracy))
-    return d.select(*keys, nn.cast("long").alias("n"), F.col("matched").cast("long").alias("matched"),
-                    (F.col("matched") / nn).alias("acc"), ari.alias("ari"), nmi.alias("nmi"),
-                    accuracy.alias("accuracy"), accuracy.alias("precision_micro"),
-                    accuracy.alias("recall_micro"), f1.alias("f1_micro"))
+    # micro averages: true positives, false positives and false negatives summed over classes
+    hit = F.col("_st.tp")
+    wrong_pred = V.vsum(F.col("_st.b")) - hit
+    missed = V.vsum(F.col("_st.a")) - hit
+    precision, recall = hit / (hit + wrong_pred), hit / (hit + missed)
+    f1 = F.when(hit == 0, F.lit(0.0)).otherwise(2 * hit / (2 * hit + wrong_pred + missed))
+    acc = [F.col("matched").cast("long").alias("matched"), (F.col("matched") / nn).alias("acc")] if matching else []
+    return d.select(*keys, nn.cast("long").alias("n"), *acc, ari.alias("ari"), nmi.alias("nmi"),
+                    (hit / nn).alias("accuracy"), precision.alias("precision_micro"),
+                    recall.alias("recall_micro"), f1.alias("f1_micro"))
 
 
 def clustering_report(df: DataFrame, keys: Sequence[str] = (), pred: str = "pred",
-                      label: str = "label") -> DataFrame:
+                      label: str = "label", matching: bool = True) -> DataFrame:
     """One row per group: n, matched, acc, ari, nmi, accuracy, micro P/R/F1.
 
     Two shuffles in total: the contingency count and the per-group packing.
     """
-    return report_from_packed(packed_contingency(df, keys, pred, label), keys)
+    return report_from_packed(packed_contingency(df, keys, pred, label), keys, matching)
 
 
 def batch_mean(report: DataFrame, cols: Sequence[str], suffix: str = "_batch_mean") -> DataFrame:
@@ -95,49 +103,53 @@ def batch_mean(report: DataFrame, cols: Sequence[str], suffix: str = "_batch_mea
 
 # ---- greedy P / R (group-overlap matrices) -------------------------------------------
 
-def first_appearance_order(df: DataFrame, group: str, item: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys..., group value, order) where order = 0-based rank of the group's first item."""
-    keys = list(keys)
-    firsts = df.where(F.col(group).isNotNull()).groupBy(*keys, group).agg(F.min(item).alias("_first"))
-    return firsts.withColumn("order", (F.dense_rank().over(
-        Window.partitionBy(*keys).orderBy("_first")) - 1).cast("long")).drop("_first")
-
-
 def overlap_matrices(items: DataFrame, keys: Sequence[str] = (), item: str = "item",
                      pred: str = "pred", label: str = "label") -> DataFrame:
     """Recall and precision matrices in long form.
 
     ``items`` has one row per item index with a nullable ``pred`` and a
     nullable ``label``. recall = overlap / size(true group),
-    precision = overlap / size(predicted group).
+    precision = overlap / size(predicted group). Sizes, first positions and group counts all come
+    from one ``groupBy(keys, pred, label)`` with the null groups kept.
     """
     keys = list(keys)
-    cont = contingency(items, keys, pred, label)
-    true_size = items.where(F.col(label).isNotNull()).groupBy(*keys, F.col(label).alias("label")) \
-        .agg(F.count(F.lit(1)).alias("true_size"))
-    pred_size = items.where(F.col(pred).isNotNull()).groupBy(*keys, F.col(pred).alias("pred")) \
-        .agg(F.count(F.lit(1)).alias("pred_size"))
-    po = first_appearance_order(items, pred, item, keys).withColumnRenamed(pred, "pred") \
-        .withColumnRenamed("order", "pred_order")
-    lo = first_appearance_order(items, label, item, keys).withColumnRenamed(label, "label") \
-        .withColumnRenamed("order", "label_order")
-    m = (cont.join(true_size, keys + ["label"]).join(pred_size, keys + ["pred"])
-         .join(po, keys + ["pred"]).join(lo, keys + ["label"]))
+    cells = items.groupBy(*keys, F.col(pred).alias("pred"), F.col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("n_ij"), F.min(item).alias("_first"))
+    by_pred, by_label, within = (Window.partitionBy(*keys, "pred"), Window.partitionBy(*keys, "label"),
+                                 Window.partitionBy(*keys))
+    m = (cells.withColumn("pred_size", F.sum("n_ij").over(by_pred)).withColumn("_pf", F.min("_first").over(by_pred))
+         .withColumn("true_size", F.sum("n_ij").over(by_label)).withColumn("_lf", F.min("_first").over(by_label)))
+    # order of first appearance among the groups that have a name
+    m = (m.withColumn("pred_order", (F.dense_rank().over(within.orderBy(
+            F.when(F.col("pred").isNotNull(), F.col("_pf")).asc_nulls_last())) - 1).cast("long"))
+         .withColumn("label_order", (F.dense_rank().over(within.orderBy(
+             F.when(F.col("label").isNotNull(), F.col("_lf")).asc_nulls_last())) - 1).cast("long")))
     return m.select(*keys, "pred", "label", "pred_order", "label_order", "n_ij", "true_size", "pred_size",
                     (F.col("n_ij") / F.col("true_size")).alias("recall"),
                     (F.col("n_ij") / F.col("pred_size")).alias("precision"))
 
 
-def greedy_scores(items: DataFrame, keys: Sequence[str] = (), item: str = "item",
-                  pred: str = "pred", label: str = "label") -> DataFrame:
-    """Greedy R = greedy(recall) / #predicted groups; greedy P = greedy(precision) / #true groups."""
+def named_overlaps(matrices: DataFrame) -> DataFrame:
+    """The cells between two named groups."""
+    return matrices.where(F.col("pred").isNotNull() & F.col("label").isNotNull())
+
+
+def greedy_scores(items: DataFrame, keys: Sequence[str] = (), item: str = "item", pred: str = "pred",
+                  label: str = "label", sides: Sequence[str] = ("recall", "precision")) -> DataFrame:
+    """Greedy R = greedy(recall) / #predicted groups; greedy P = greedy(precision) / #true groups.
+
+    Everything is read off the one table of overlaps; only the asked ``sides`` are folded.
+    """
     keys = list(keys)
     m = overlap_matrices(items, keys, item, pred, label)
-    gr = greedy_total(m, keys, "pred_order", "label_order", "recall", out="greedy_recall_sum")
-    gp = greedy_total(m, keys, "pred_order", "label_order", "precision", out="greedy_precision_sum")
-    counts = items.groupBy(*keys).agg(F.countDistinct(pred).alias("n_pred_groups"),
-                                      F.countDistinct(label).alias("n_true_groups"))
-    j = (gr.join(gp, keys).join(counts, keys) if keys else gr.crossJoin(gp).crossJoin(counts))
-    return j.select(*keys, "n_pred_groups", "n_true_groups", "greedy_recall_sum", "greedy_precision_sum",
-                    (F.col("greedy_recall_sum") / F.col("n_pred_groups")).alias("greedy_r"),
-                    (F.col("greedy_precision_sum") / F.col("n_true_groups")).alias("greedy_p"))
+    both = F.col("pred").isNotNull() & F.col("label").isNotNull()
+    packed = m.groupBy(*keys).agg(
+        F.countDistinct("pred").alias("n_pred_groups"), F.countDistinct("label").alias("n_true_groups"),
+        *[F.array_sort(F.collect_list(F.when(both, greedy_cell("pred_order", "label_order", s)))).alias(f"_{s}") for s in sides])
+    out = packed.select(*keys, "n_pred_groups", "n_true_groups",
+                        *[greedy_fold(f"_{s}").alias(f"greedy_{s}_sum") for s in sides])
+    if "recall" in sides:
+        out = out.withColumn("greedy_r", F.col("greedy_recall_sum") / F.col("n_pred_groups"))
+    if "precision" in sides:
+        out = out.withColumn("greedy_p", F.col("greedy_precision_sum") / F.col("n_true_groups"))
+    return out

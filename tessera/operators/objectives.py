@@ -26,18 +26,21 @@ def kmeans_objective(scored: DataFrame) -> DataFrame:
 
 
 def prototype_pairs(protos: DataFrame) -> DataFrame:
-    """(qa, qb, cos) for prototype pairs qa < qb (k is small and checked upstream)."""
+    """(qa, qb, cos) for prototype pairs qa < qb: the pair list itself is the result."""
     a = protos.select(F.col("q").alias("qa"), F.col("c").alias("ca"))
     b = protos.select(F.col("q").alias("qb"), F.col("c").alias("cb"))
-    return a.join(F.broadcast(b), F.col("qa") < F.col("qb")).select(
+    return a.join(b, F.col("qa") < F.col("qb")).select(
         "qa", "qb", V.cosine("ca", "cb").alias("cos"))
 
 
 def center_separation(protos: DataFrame) -> DataFrame:
     """(sum_{i<j} cos + T) / T with T = k(k-1)/2: 0 = all opposite, 1 = orthogonal, 2 = all equal."""
-    pp = prototype_pairs(protos)
-    return pp.agg(F.count(F.lit(1)).alias("n_pairs"),
-                  ((F.sum("cos") + F.count(F.lit(1))) / F.count(F.lit(1))).alias("separation"))
+    # with unit vectors u: sum_{i<j} u_i.u_j = (|sum u|^2 - k) / 2, so no pair is made
+    unit = protos.select(F.posexplode(V.bind(V.norm("c"), lambda n: F.transform("c", lambda x: x / n))).alias("pos", "v"), F.lit(1).alias("_one"))
+    sums = unit.groupBy("pos").agg(F.sum("v").alias("s"), F.sum("_one").alias("k"))
+    d = sums.agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.max("k").alias("k"))
+    t = F.col("k") * (F.col("k") - 1) / 2
+    return d.select(t.cast("long").alias("n_pairs"), (((F.col("s2") - F.col("k")) / 2 + t) / t).alias("separation"))
 
 
 def margin_term(cos, y, margin: float):
@@ -47,7 +50,8 @@ def margin_term(cos, y, margin: float):
 
 def pair_margin_loss(pairs: DataFrame, margin: float, ratio_cls: float, ratio_model: float,
                      threshold: float = 0.2) -> DataFrame:
-    """One row: n, loss_raw, loss_norm, loss (weighted sum), accuracy of the threshold classifier.
+    """One row: n, loss_raw, loss_norm, loss (weighted sum), accuracy of the threshold classifier
+    (which thresholds the second, normalised pair).
 
     ``pairs`` has x_1, x_2 and a 0/1 label ``y`` (0 becomes -1). The second
     term compares the layer-normalised vectors.
@@ -55,7 +59,7 @@ def pair_margin_loss(pairs: DataFrame, margin: float, ratio_cls: float, ratio_mo
     y = F.when(F.col("y") == 0, F.lit(-1)).otherwise(F.col("y"))
     d = pairs.select(y.alias("ypm"), V.cosine("x_1", "x_2").alias("c1"),
                      V.cosine(V.layer_norm("x_1"), V.layer_norm("x_2")).alias("c2"))
-    pred = F.when(F.col("c1") < F.lit(threshold), F.lit(-1)).otherwise(F.lit(1))
+    pred = F.when(F.col("c2") < F.lit(threshold), F.lit(-1)).otherwise(F.lit(1))
     agg = d.agg(F.count(F.lit(1)).alias("n"),
                 F.avg(margin_term(F.col("c1"), F.col("ypm"), margin)).alias("loss_raw"),
                 F.avg(margin_term(F.col("c2"), F.col("ypm"), margin)).alias("loss_norm"),

@@ -46,8 +46,13 @@ def rank_within(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], b
     counts = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
-    return d.join(offs, keys + ["_b"]).withColumn(out, (F.col("_off") + F.col("_lrn")).cast("long")) \
-        .drop("_b", "_lrn", "_off")
+    # null classes and null sort keys are a class and a bucket of their own
+    renamed = offs.select(*[F.col(k).alias(f"_o_{k}") for k in keys + ["_b"]], "_off")
+    same = F.lit(True)
+    for k in keys + ["_b"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    return d.join(renamed, same).withColumn(out, (F.col("_off") + F.col("_lrn")).cast("long")) \
+        .drop("_b", "_lrn", "_off", *[f"_o_{k}" for k in keys + ["_b"]])
 
 
 def rank_by_id(df: DataFrame, keys: Sequence[str], id_col: str, out: str = "rn") -> DataFrame:
@@ -60,6 +65,13 @@ def rank_by_hash(df: DataFrame, keys: Sequence[str], id_col: str, out: str = "rn
     return rank_within(d, keys, ["_hk", id_col], hash_bucket("_hk"), out).drop("_hk")
 
 
+def first_appearance_order(df: DataFrame, group: str, item: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., group, order): 0-based rank of each group by its first item; groups of a page are few."""
+    firsts = df.groupBy(*keys, group).agg(F.min(item).alias("_first"))
+    return firsts.withColumn("order", (F.dense_rank().over(
+        Window.partitionBy(*keys).orderBy("_first")) - 1).cast("long")).drop("_first")
+
+
 # ---- class statistics, head, zip, batches ---------------------------------------------
 
 def class_sizes(df: DataFrame, cls: str) -> DataFrame:
@@ -94,6 +106,12 @@ def batch_rows(df: DataFrame, cls: str, id_col: str, batch_size: int) -> DataFra
         "batch_id", F.floor((F.col("rn") - 1) / F.lit(batch_size)).cast("long"))
 
 
+def batches(df: DataFrame, cls: str, id_col: str, batch_size: int) -> DataFrame:
+    """Every row with its batch: ``batch_size`` rows of each class a batch, classes running out one by one."""
+    ranked = rank_by_id(df, [cls], id_col, "rn")
+    return ranked.withColumn("batch_id", F.floor((F.col("rn") - 1) / F.lit(batch_size)).cast("long"))
+
+
 # ---- splits and sampling --------------------------------------------------------------
 
 def shuffle_order(df: DataFrame, id_col: str, keys: Sequence[str] = (), seed: int = SEED,
@@ -116,10 +134,10 @@ def split_stratified(df: DataFrame, cls: str, id_col: str, test_fraction: float
                      seed: int = SEED) -> DataFrame:
     """Per class: test = ceil(test_fraction * n_c) rows, train = the rest (shuffled order)."""
     ranked = shuffle_order(df, id_col, [cls], seed, "pos")
-    sizes = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(F.col(cls).alias("_cls")).agg(F.count(F.lit(1)).alias("_n"))
     n_train = F.col("_n") - F.ceil(F.lit(test_fraction) * F.col("_n"))
-    return ranked.join(sizes, cls).withColumn(
-        "split", F.when(F.col("pos") <= n_train, F.lit("train")).otherwise(F.lit("test"))).drop("_n")
+    return ranked.join(sizes, F.col(cls).eqNullSafe(F.col("_cls"))).withColumn(
+        "split", F.when(F.col("pos") <= n_train, F.lit("train")).otherwise(F.lit("test"))).drop("_n", "_cls")
 
 
 def balanced_downsample(df: DataFrame, label: str, id_col: str, seed: int = SEED) -> DataFrame:

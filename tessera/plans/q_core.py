@@ -17,9 +17,9 @@ def scored_vectors(spark, sf_dir):
     return assign.assign_to_prototypes(v, protos)
 
 
-def evaluate_clustering_df(spark, sf_dir):
+def evaluate_clustering_df(spark, sf_dir, matching=True):
     scored = scored_vectors(spark, sf_dir)
-    return metrics.clustering_report(scored.select("pred", "label"))
+    return metrics.clustering_report(scored.select("pred", "label"), matching=matching)
 
 
 REPORT_SQL = S.with_ctes(
@@ -94,22 +94,22 @@ def match_max_overlap(spark, sf_dir):
 @query("metric_ari", _metric_sql("ari"))
 def metric_ari(spark, sf_dir):
     """Adjusted Rand index."""
-    return evaluate_clustering_df(spark, sf_dir).select("ari")
+    return evaluate_clustering_df(spark, sf_dir, matching=False).select("ari")
 
 
 @query("metric_nmi", _metric_sql("nmi"))
 def metric_nmi(spark, sf_dir):
     """A10: normalised mutual information (arithmetic mean)."""
-    return evaluate_clustering_df(spark, sf_dir).select("nmi")
+    return evaluate_clustering_df(spark, sf_dir, matching=False).select("nmi")
 
 
 @query("metric_accuracy", _metric_sql("accuracy"))
 def metric_accuracy(spark, sf_dir):
     """Plain accuracy without matching."""
-    return evaluate_clustering_df(spark, sf_dir).select("accuracy")
+    return evaluate_clustering_df(spark, sf_dir, matching=False).select("accuracy")
 
 
 @query("metric_micro_prf", _metric_sql("precision_micro, recall_micro, f1_micro"))
 def metric_micro_prf(spark, sf_dir):
     """Micro precision, recall, F1."""
-    return evaluate_clustering_df(spark, sf_dir).select("precision_micro", "recall_micro", "f1_micro")
+    return evaluate_clustering_df(spark, sf_dir, matching=False).select("precision_micro", "recall_micro", "f1_micro")

@@ -87,7 +87,7 @@ def scan_text_dir(spark, sf_dir):
     corpus = tables.text_corpus(spark, sf_dir)
     files.write_text_dir(corpus.withColumn("text", T.newline_to_space("description")), path, "class_index", "text")
     back = files.read_text_dir(spark, path)
-    ranked = tables.dense_rank_small(back, "folder", "class_rank")
+    ranked = tables.with_class_rank(back, "folder", "class_rank")
     return ranked.groupBy("class_rank", "folder").agg(F.count(F.lit(1)).alias("n_files"),
                                                       F.sum(F.length("text")).alias("n_chars"))
 
@@ -121,7 +121,7 @@ def manifest_paths(spark, sf_dir):
 
 def _batch_acc(v, protos):
     s = assign.assign_to_prototypes(v, protos).select("id", "pred", "label", "qs", "cos")
-    b = prep.batch_rows(v.select("id", "label"), "label", "id", 4).select("id", "batch_id")
+    b = prep.batches(v.select("id", "label"), "label", "id", 4).select("id", "batch_id")
     sb = s.join(b, "id")
     rep = metrics.batch_mean(metrics.clustering_report(sb.select("batch_id", "pred", "label"), ["batch_id"]), ["acc"])
     loss = cross_entropy_double_softmax(sb).agg(F.avg("loss").alias("loss"))

@@ -1,10 +1,10 @@
 """Page-layout preparation: bounding boxes, position lookups, reading-order groups."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import layout as L
+from tessera.operators import prep
 from tessera.plans.registry import query
 from tessera.sources import tables
 
@@ -85,9 +85,7 @@ _RO = ("ro AS (SELECT a.conv_id AS page, a.turn AS item, f.grp AS group_id FROM
 
 def _reading_order_groups(spark, sf_dir):
     ann = tables.annotations(spark, sf_dir)
-    firsts = ann.groupBy("page", "reading_order").agg(F.min("item").alias("_first"))
-    ranked = firsts.withColumn("group_id", (F.dense_rank().over(
-        Window.partitionBy("page").orderBy("_first")) - 1).cast("long"))
+    ranked = prep.first_appearance_order(ann, "reading_order", "item", ["page"]).withColumnRenamed("order", "group_id")
     r = ranked.select(F.col("page").alias("_page"), F.col("reading_order").alias("_ro"), "group_id")
     cond = (ann["page"] == r["_page"]) & ann["reading_order"].eqNullSafe(r["_ro"])
     return ann.join(r, cond).select("page", "item", "group_id")
@@ -103,6 +101,9 @@ def reading_order_groups(spark, sf_dir):
        "SELECT page, n_groups, (SELECT max(n_groups) FROM g) AS max_groups FROM g")
 def groups_per_page(spark, sf_dir):
     """Distinct reading-order groups per page and the maximum over pages."""
-    g = _reading_order_groups(spark, sf_dir).groupBy("page").agg(F.countDistinct("group_id").alias("n_groups"))
+    # a group is one reading-order value of a page; no numbering is needed to count them
+    items = tables.annotations(spark, sf_dir)
+    g = items.groupBy("page").agg((F.countDistinct("reading_order") + F.max(
+        F.col("reading_order").isNull().cast("int"))).alias("n_groups"))
     mx = g.agg(F.max("n_groups").alias("max_groups"))
     return g.crossJoin(F.broadcast(mx)).orderBy("n_groups")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators import assign, metrics, pages, prep
 from tessera.operators.matching import assignment_pairs, assignment_total
-from tessera.operators.objectives import cross_entropy_double_softmax
 from tessera.plans import sqlparts as S
 from tessera.plans.q_core import BASE, scored_vectors
 from tessera.plans.q_vectors import _SM, SCORES
@@ -18,15 +17,15 @@ BATCH_SIZE = 4
 
 def scored_pages(spark, sf_dir):
     s = scored_vectors(spark, sf_dir)
-    return s.withColumn("page", (F.col("id") / 25).cast("long")).withColumn("para", (F.col("id") % 25).cast("int"))
+    return s.withColumn("page", tables.page_of()).withColumn("para", tables.para_of())
 
 
 _COST = SCORES + [
     "arts AS (SELECT DISTINCT label AS j FROM vecs)",
-    "pq AS (SELECT p.id // 25 AS page, pr.q, avg(CASE WHEN p.pred = pr.q THEN 1.0 ELSE 0.0 END) AS p_q "
+    f"pq AS (SELECT {S.page('p.id')} AS page, pr.q, avg(CASE WHEN p.pred = pr.q THEN 1.0 ELSE 0.0 END) AS p_q "
     "FROM pred p CROSS JOIN protos pr GROUP BY page, pr.q)",
-    "tj AS (SELECT DISTINCT id // 25 AS page, label AS j, 1.0 AS t FROM vecs)",
-    "cc AS (SELECT s.id // 25 AS page, s.q, a.j, sum(abs(s.cs - CASE WHEN s.label = a.j THEN 1 ELSE -1 END)) "
+    f"tj AS (SELECT DISTINCT {S.page()} AS page, label AS j, 1.0 AS t FROM vecs)",
+    f"cc AS (SELECT {S.page('s.id')} AS page, s.q, a.j, sum(abs(s.cs - CASE WHEN s.label = a.j THEN 1 ELSE -1 END)) "
     "AS match_cost FROM sc s CROSS JOIN arts a GROUP BY page, s.q, a.j)",
     "cost AS (SELECT cc.page, cc.q, cc.j, cc.match_cost, 2 * abs(pq.p_q - coalesce(tj.t, 0.0)) AS class_cost, "
     "cc.match_cost + 2 * abs(pq.p_q - coalesce(tj.t, 0.0)) AS cost FROM cc JOIN pq ON pq.page = cc.page "
@@ -35,9 +34,9 @@ _COST = SCORES + [
 
 
 @query("l1_cost_matrix", S.with_ctes(_COST, "SELECT page, q, j, round(match_cost, 6) AS match_cost, "
-       "round(class_cost, 6) AS class_cost, round(cost, 6) AS cost FROM cost"))
+       "round(class_cost, 6) AS class_cost, round(cost, 6) AS cost FROM cost JOIN tj USING (page, j)"))
 def l1_cost_matrix(spark, sf_dir):
-    """Per page, L1 cost of every predicted article q against every true article j."""
+    """Per page, L1 cost of every predicted article q against the true articles j of that page."""
     return pages.cost_table(scored_pages(spark, sf_dir)).select("page", "q", "j", "match_cost", "class_cost", "cost")
 
 
@@ -47,14 +46,14 @@ def l1_cost_matrix(spark, sf_dir):
 def match_min_cost(spark, sf_dir):
     """M2: min-cost one-to-one matching per page, cost = cosine L1 + class L1."""
     c = pages.cost_table(scored_pages(spark, sf_dir))
-    return assignment_total(c, ["page"], "q", "j", "cost", mode="min", out="min_cost")
+    return assignment_total(c, ["page"], "q", "j", "cost", mode="min", out="min_cost", pad="absent_cost")
 
 
 _PCOST = SCORES + [_SM, "arts AS (SELECT DISTINCT label AS j FROM vecs)",
-                   "pq AS (SELECT p.id // 25 AS page, pr.q, avg(CASE WHEN p.pred = pr.q THEN 1.0 ELSE 0.0 END) AS p_q "
+                   f"pq AS (SELECT {S.page('p.id')} AS page, pr.q, avg(CASE WHEN p.pred = pr.q THEN 1.0 ELSE 0.0 END) AS p_q "
                    "FROM pred p CROSS JOIN protos pr GROUP BY page, pr.q)",
-                   "tj AS (SELECT DISTINCT id // 25 AS page, label AS j, 1.0 AS t FROM vecs)",
-                   "pc AS (SELECT s.id // 25 AS page, s.q, a.j, sum(abs(s.p - CASE WHEN s.label = a.j THEN 1 ELSE 0 END)) "
+                   f"tj AS (SELECT DISTINCT {S.page()} AS page, label AS j, 1.0 AS t FROM vecs)",
+                   f"pc AS (SELECT {S.page('s.id')} AS page, s.q, a.j, sum(abs(s.p - CASE WHEN s.label = a.j THEN 1 ELSE 0 END)) "
                    "AS match_cost FROM sm s CROSS JOIN arts a GROUP BY page, s.q, a.j)",
                    "pcost AS (SELECT pc.page, pc.q, pc.j, pc.match_cost + 2 * abs(pq.p_q - coalesce(tj.t, 0.0)) AS cost "
                    "FROM pc JOIN pq ON pq.page = pc.page AND pq.q = pc.q LEFT JOIN tj ON tj.page = pc.page AND tj.j = pc.j)"]
@@ -66,7 +65,7 @@ _PCOST = SCORES + [_SM, "arts AS (SELECT DISTINCT label AS j FROM vecs)",
 def match_total_cost(spark, sf_dir):
     """M3: sum over pages of the min matching cost, cost = L1(label, paragraph softmax) + class L1."""
     c = pages.cost_table(scored_pages(spark, sf_dir), term="para")
-    per = assignment_total(c, ["page"], "q", "j", "cost", mode="min", out="best")
+    per = assignment_total(c, ["page"], "q", "j", "cost", mode="min", out="best", pad="absent_cost")
     return per.agg(F.count(F.lit(1)).alias("n_pages"), F.sum("best").alias("total_cost"))
 
 
@@ -74,7 +73,7 @@ def match_total_cost(spark, sf_dir):
 def match_pairs(spark, sf_dir):
     """M4: matched (q, j) index pairs per page (ties may pick other pairs than another solver)."""
     c = pages.cost_table(scored_pages(spark, sf_dir))
-    return assignment_pairs(c, ["page"], "q", "j", "cost", mode="min")
+    return assignment_pairs(c, ["page"], "q", "j", "cost", mode="min", pad="absent_cost")
 
 
 @query("gather_matched")
@@ -82,17 +81,18 @@ def gather_matched(spark, sf_dir):
     """True-article rows gathered in matched order (paragraph count of each matched article)."""
     sp = scored_pages(spark, sf_dir)
     c = pages.cost_table(sp)
-    pairs = assignment_pairs(c, ["page"], "q", "j", "cost", mode="min").select("page", "q", "j")
+    pairs = assignment_pairs(c, ["page"], "q", "j", "cost", mode="min", pad="absent_cost").select("page", "q", "j")
     sizes = sp.groupBy("page", F.col("label").alias("j")).agg(F.count(F.lit(1)).alias("n_paras"))
     return pairs.join(sizes, ["page", "j"], "left").select("page", "q", "j", F.coalesce("n_paras", F.lit(0)).alias("n_paras"))
 
 
 @query("matched_l1")
 def matched_l1(spark, sf_dir):
-    """Masked L1 sums (class, cosine) after the per-page matching."""
-    c = pages.cost_table(scored_pages(spark, sf_dir))
-    pairs = assignment_pairs(c, ["page"], "q", "j", "cost", mode="min").select("page", "q", "j")
-    return pages.matched_l1(c, pairs)
+    """Masked L1 sums (class, paragraph, cosine) after the per-page matching."""
+    sp = scored_pages(spark, sf_dir)
+    c = pages.cost_table(sp)
+    pairs = assignment_pairs(c, ["page"], "q", "j", "cost", mode="min", pad="absent_cost", padding=True).select("page", "q", "j")
+    return pages.matched_l1(c, pages.cost_table(sp, term="para"), pairs)
 
 
 @query("filter_pred_article", S.with_ctes(_COST, "SELECT DISTINCT page, q, round(p_q, 6) AS p_q FROM pq "
@@ -103,23 +103,38 @@ def filter_pred_article(spark, sf_dir):
     return c.where(F.col("p_q") > 1 - F.col("p_q")).select("page", "q", "p_q").distinct()
 
 
-@query("valid_prefix", f"WITH {S.VECS} SELECT id // 25 AS page, count(DISTINCT label) AS n_articles, "
-       "count(*) AS n_paras, count(*) FILTER (WHERE id % 25 < 25) AS n_valid FROM vecs GROUP BY page")
+_SHAPE = (f"{S.VECS}, shape AS (SELECT {S.page()} AS page, count(DISTINCT label) AS n_articles, count(*) AS n_paras "
+          "FROM vecs GROUP BY ALL)")
+
+
+@query("valid_prefix", f"WITH {_SHAPE}, slots AS (SELECT unnest(range({tables.MOST_PARAS})) AS para) "
+       "SELECT page, para FROM shape, slots WHERE para < n_paras")
 def valid_prefix(spark, sf_dir):
-    """True page shape (articles, paragraphs) and the rows inside the valid prefix."""
-    pv = tables.page_vectors(spark, sf_dir)
-    shape = pv.groupBy("page").agg(F.countDistinct("label").alias("n_articles"), F.count(F.lit(1)).alias("n_paras"),
-                                   F.count(F.when(F.col("para") < 25, 1)).alias("n_valid"))
-    return shape
+    """The paragraph slots of the padded block that lie inside the page."""
+    return _padded(spark, sf_dir).where("valid = 1").select("page", "para")
+
+
+@query("valid_mask", f"WITH {_SHAPE}, slots AS (SELECT unnest(range({tables.MOST_PARAS})) AS para) "
+       "SELECT page, n_articles, n_paras, para, CASE WHEN para < n_paras THEN 1 ELSE 0 END AS valid FROM shape, slots")
+def valid_mask(spark, sf_dir):
+    """Mask of the padded block: 1 for the page's own paragraphs, 0 for padding."""
+    return _padded(spark, sf_dir)
 
 
-@query("article_weight", f"WITH {S.VECS}, arts AS (SELECT DISTINCT label AS j FROM vecs), "
-       "pg AS (SELECT DISTINCT id // 25 AS page FROM vecs), tj AS (SELECT DISTINCT id // 25 AS page, label AS j FROM vecs) "
-       "SELECT pg.page, arts.j, CASE WHEN tj.j IS NOT NULL THEN 1.0 ELSE 0.1 END AS weight FROM pg CROSS JOIN arts "
-       "LEFT JOIN tj ON tj.page = pg.page AND tj.j = arts.j")
+def _padded(spark, sf_dir):
+    shape = pages.article_shape(tables.page_vectors(spark, sf_dir))
+    return pages.valid_mask(shape, tables.MOST_PARAS)
+
+
+# fixed value: article slots of the padded block
+ARTICLE_SLOTS = 10
+
+
+@query("article_weight", f"WITH {_SHAPE} SELECT page, CAST(slot AS INTEGER) AS slot, CASE WHEN slot < n_articles THEN 1.0 "
+       f"ELSE 0.1 END AS weight FROM (SELECT page, n_articles, unnest(range(greatest({ARTICLE_SLOTS}, n_articles))) AS slot FROM shape)")
 def article_weight(spark, sf_dir):
-    """Weight 1 for real articles, 0.1 for padding article slots."""
-    return pages.article_weights(tables.page_vectors(spark, sf_dir))
+    """Weight 1 for a page's real articles, 0.1 for padding slots."""
+    return pages.article_weights(tables.page_vectors(spark, sf_dir), ARTICLE_SLOTS)
 
 
 # ---- group overlap (greedy P / R) -----------------------------------------------------
@@ -156,9 +171,9 @@ _GREEDY = S.with_ctes(
     "round((SELECT max(total) FROM gp) / (SELECT count(DISTINCT label) FROM items), 6) AS greedy_p", recursive=True)
 
 
-def _greedy_df(spark, sf_dir):
+def _greedy_df(spark, sf_dir, sides=("recall", "precision")):
     items = scored_vectors(spark, sf_dir).select(F.col("id").alias("item"), "pred", "label")
-    return metrics.greedy_scores(items)
+    return metrics.greedy_scores(items, sides=sides)
 
 
 @query("match_greedy", _GREEDY)
@@ -170,13 +185,13 @@ def match_greedy(spark, sf_dir):
 @query("greedy_r", f"SELECT greedy_r FROM ({_GREEDY})")
 def greedy_r(spark, sf_dir):
     """greedy(recall matrix) / number of predicted groups."""
-    return _greedy_df(spark, sf_dir).select("greedy_r")
+    return _greedy_df(spark, sf_dir, ["recall"]).select("greedy_r")
 
 
 @query("greedy_p", f"SELECT greedy_p FROM ({_GREEDY})")
 def greedy_p(spark, sf_dir):
     """greedy(precision matrix) / number of true groups."""
-    return _greedy_df(spark, sf_dir).select("greedy_p")
+    return _greedy_df(spark, sf_dir, ["precision"]).select("greedy_p")
 
 
 @query("overlap_matrices", S.with_ctes(_OV, "SELECT pred, label, n_ij, true_size, pred_size, "
@@ -184,7 +199,7 @@ def greedy_p(spark, sf_dir):
 def overlap_matrices(spark, sf_dir):
     """Recall (overlap / true size) and precision (overlap / predicted size) matrices."""
     items = scored_vectors(spark, sf_dir).select(F.col("id").alias("item"), "pred", "label")
-    return metrics.overlap_matrices(items).select("pred", "label", "n_ij", "true_size", "pred_size",
+    return metrics.named_overlaps(metrics.overlap_matrices(items)).select("pred", "label", "n_ij", "true_size", "pred_size",
                                                   "recall", "precision")
 
 
@@ -220,8 +235,7 @@ def match_min_ce(spark, sf_dir):
 # ---- per-batch metrics ------------------------------------------------------------------
 
 _HB = ("hb AS (SELECT id, label, CAST(floor((rn - 1) / 4) AS BIGINT) AS batch_id FROM "
-       "(SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) AS rn FROM vecs) "
-       "WHERE rn <= (SELECT min(c) FROM (SELECT count(*) AS c FROM vecs GROUP BY label)))")
+       "(SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) AS rn FROM vecs))")
 _BATCH = S.with_ctes(
     BASE + [_HB, "bcont AS (SELECT hb.batch_id AS g, p.pred, p.label, count(*) AS n_ij FROM pred p "
                  "JOIN hb ON hb.id = p.id GROUP BY hb.batch_id, p.pred, p.label)"]
@@ -232,12 +246,9 @@ _BATCH = S.with_ctes(
 
 @query("metrics_batch_mean", _BATCH)
 def metrics_batch_mean(spark, sf_dir):
-    """ACC / ARI / NMI per balanced batch (4 samples), then the unweighted mean."""
+    """ACC / ARI / NMI per batch (4 samples of each class, all rows), then the unweighted mean."""
     v = tables.vectors(spark, sf_dir)
     s = assign.assign_to_prototypes(v, assign.class_mean_prototypes(v)).select("id", "pred", "label")
-    b = prep.batch_rows(v.select("id", "label"), "label", "id", BATCH_SIZE).select("id", "batch_id")
+    b = prep.batches(v.select("id", "label"), "label", "id", BATCH_SIZE).select("id", "batch_id")
     rep = metrics.clustering_report(s.join(b, "id"), ["batch_id"])
     return metrics.batch_mean(rep, ["acc", "ari", "nmi"])
-
-
-__all__ = ["cross_entropy_double_softmax"]

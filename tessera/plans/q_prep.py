@@ -68,15 +68,6 @@ def batch_rows(spark, sf_dir):
     return prep.batch_rows(v, "label", "id", BATCH_SIZE).select("id", "label", "sample", "batch_id")
 
 
-@query("limit_batches", f"WITH {HEAD} SELECT id, CAST(floor((rn - 1) / {BATCH_SIZE}) AS BIGINT) AS batch_id "
-       f"FROM head WHERE floor((rn - 1) / {BATCH_SIZE}) < 3001")
-def limit_batches(spark, sf_dir):
-    """Stop after 3001 batches (batch_id < 3001)."""
-    v = tables.vectors(spark, sf_dir).select("id", "label")
-    b = prep.batch_rows(v, "label", "id", BATCH_SIZE)
-    return b.where(F.col("batch_id") < 3001).select("id", "batch_id")
-
-
 @query("filter_class_ne", f"WITH {DOCS} SELECT doc_id, class_index FROM docs WHERE class_index <> 2")
 def filter_class_ne(spark, sf_dir):
     """Class != 2."""
@@ -84,10 +75,10 @@ def filter_class_ne(spark, sf_dir):
 
 
 @query("filter_class_eq", f"WITH {DOCS} SELECT class_index, count(*) AS n, min(doc_id) AS first_doc "
-       "FROM docs WHERE class_index IN (1, 2, 3, 4) GROUP BY class_index")
+       "FROM docs WHERE class_index IS NOT NULL GROUP BY class_index")
 def filter_class_eq(spark, sf_dir):
-    """The four equality filters as one grouped pass."""
-    return corpus(spark, sf_dir).where(F.col("class_index").isin(1, 2, 3, 4)).groupBy("class_index").agg(
+    """The equality filters of all classes as one grouped pass."""
+    return corpus(spark, sf_dir).where(F.col("class_index").isNotNull()).groupBy("class_index").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
@@ -159,12 +150,12 @@ def label_pm1(spark, sf_dir):
     return lab.select("doc_id", prep.label_pm1("quality").alias("y_quality"), prep.label_pm1("toxic").alias("y_toxic"))
 
 
-@query("one_hot", f"WITH {DOCS} SELECT doc_id, array_to_string(list_transform(range(4), "
+@query("one_hot", f"WITH {DOCS} SELECT doc_id, array_to_string(list_transform(range((SELECT max(class_index) FROM docs)), "
        "lambda i: CASE WHEN i = class_index - 1 THEN 1 ELSE 0 END), ',') AS one_hot FROM docs")
 def one_hot(spark, sf_dir):
-    """One-hot vector of the 1-based class over 4 classes."""
+    """One-hot vector of the 1-based class over all classes."""
     d = corpus(spark, sf_dir)
-    oh = prep.one_hot("class_index", 4, base=1)
+    oh = prep.one_hot("class_index", len(tables.class_names(tables.table(spark, sf_dir, "documents"), "lang")), base=1)
     return d.select("doc_id", F.array_join(F.transform(oh, lambda x: x.cast("string")), ",").alias("one_hot"))
 
 
@@ -204,15 +195,10 @@ def balanced_downsample(spark, sf_dir):
     return prep.balanced_downsample(lab, "quality", "doc_id").select("doc_id", "quality")
 
 
-@query("union_classes", f"WITH {DOCS} SELECT doc_id, class_index FROM docs WHERE class_index IN (1, 2, 3, 4)")
+@query("union_classes", f"WITH {DOCS} SELECT doc_id, class_index FROM docs WHERE class_index IS NOT NULL")
 def union_classes(spark, sf_dir):
-    """Per-class frames concatenated with their class index."""
-    d = corpus(spark, sf_dir)
-    frames = [d.where(F.col("class_index") == c).select("doc_id", F.lit(c).alias("class_index")) for c in (1, 2, 3, 4)]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """The rows of all classes with their class index, in one scan."""
+    return corpus(spark, sf_dir).where(F.col("class_index").isNotNull()).select("doc_id", "class_index")
 
 
 @query("multiset_intersection", "SELECT lang, count(*) AS n FROM ("

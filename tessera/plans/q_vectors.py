@@ -1,7 +1,6 @@
 """Vector functions, objective values and the pair-model evaluation."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
@@ -37,7 +36,7 @@ def _long(df, key, vec, out="value"):
     return df.select(*key, F.posexplode(vec).alias("pos", out))
 
 
-@query("vec_max_pool", f"WITH {S.VECS} SELECT id // 25 AS page, pos, round(max(v), 6) AS value FROM "
+@query("vec_max_pool", f"WITH {S.VECS} SELECT {S.page()} AS page, pos, round(max(v), 6) AS value FROM "
        f"(SELECT id, {LONG} FROM vecs) GROUP BY page, pos")
 def vec_max_pool(spark, sf_dir):
     """element-wise max over the paragraphs of each page."""
@@ -45,7 +44,7 @@ def vec_max_pool(spark, sf_dir):
     return _long(assign.max_vectors(pv, ["page"], "x"), ["page"], "c")
 
 
-@query("vec_mean_pool", f"WITH {S.VECS} SELECT id // 25 AS page, pos, round(avg(v), 6) AS value FROM "
+@query("vec_mean_pool", f"WITH {S.VECS} SELECT {S.page()} AS page, pos, round(avg(v), 6) AS value FROM "
        f"(SELECT id, {LONG} FROM vecs) GROUP BY page, pos")
 def vec_mean_pool(spark, sf_dir):
     """element-wise mean over the paragraphs of each page (every row counts)."""
@@ -65,13 +64,13 @@ def vec_arith(spark, sf_dir):
     return z.select("pair_id", "pos", F.col("t.s").alias("sum"), F.col("t.d").alias("diff"), F.col("t.h").alias("half"))
 
 
-@query("context_difference", f"WITH {PAIRS}, pm AS ({S.mean_vectors('(SELECT id // 25 AS page, x FROM vecs)', 'page')}) "
+@query("context_difference", f"WITH {PAIRS}, pm AS ({S.mean_vectors(f'(SELECT {S.page()} AS page, x FROM vecs)', 'page')}) "
        "SELECT pair_id, CAST(p AS INTEGER) AS pos, round(x_1[p + 1] + (pm.c[p + 1] - x_2[p + 1]), 6) AS v_1, "
-       "round(x_2[p + 1] + (pm.c[p + 1] - x_1[p + 1]), 6) AS v_2 FROM pr JOIN pm ON pm.page = (pr.pair_id * 2) // 25, "
+       f"round(x_2[p + 1] + (pm.c[p + 1] - x_1[p + 1]), 6) AS v_2 FROM pr JOIN pm ON pm.page = {S.page('(pr.pair_id * 2)')}, "
        "(SELECT unnest(range(64)) AS p) WHERE p < len(x_1)")
 def context_difference(spark, sf_dir):
     """v1 + (v_all - v2) and v2 + (v_all - v1); v_all = mean vector of the page of the pair."""
-    p = tables.pairs(spark, sf_dir).withColumn("page", (F.col("id_1") / 25).cast("long"))
+    p = tables.pairs(spark, sf_dir).withColumn("page", tables.page_of("id_1"))
     pm = assign.mean_vectors(tables.page_vectors(spark, sf_dir), ["page"], "x", "v_all")
     j = p.join(pm, "page")
     a, b = V.context_difference("x_1", "x_2", "v_all")
@@ -84,11 +83,13 @@ def context_difference(spark, sf_dir):
 def vec_linear_tanh(spark, sf_dir):
     """affine map (weights = class-mean prototype matrix, bias 0) followed by tanh."""
     v = tables.vectors(spark, sf_dir)
-    packed = assign.pack_prototypes(assign.class_mean_prototypes(v))
-    j = v.crossJoin(F.broadcast(packed.select("P")))  # one row, bounded by pack_prototypes
-    out = j.select("id", F.explode(F.transform("P", lambda p: F.struct(
-        p["q"].alias("q"), F.tanh(V.dot("x", p["c"])).alias("value")))).alias("t"))
-    return out.select("id", F.col("t.q").alias("q"), F.col("t.value").alias("value"))
+    # x.c = cosine x |x| x |c|: any number of prototypes, the scores being those of the assignment
+    protos = assign.class_mean_prototypes(v)
+    scored = assign.assign_to_prototypes(v, protos)
+    long = scored.select("id", V.norm("x").alias("_xn"), F.explode(F.arrays_zip("qs", "cos")).alias("t")).select(
+        "id", "_xn", F.col("t.qs").alias("q"), F.col("t.cos").alias("_cos"))
+    norms = protos.select("q", V.norm("c").alias("_cn"))
+    return long.join(norms, "q").select("id", "q", F.tanh(F.col("_cos") * F.col("_xn") * F.col("_cn")).alias("value"))
 
 
 @query("vec_layer_norm", f"WITH {S.VECS}, ln AS (SELECT id, {_ln_sql('x')} AS y FROM vecs) "
@@ -117,7 +118,7 @@ _PM = (f"{PAIRS}, pc AS (SELECT pair_id, y, {S.cos('x_1', 'x_2')} AS c1, "
        f"{S.cos(_ln_sql('x_1'), _ln_sql('x_2'))} AS c2 FROM pr), "
        f"pl AS (SELECT avg(CASE WHEN y = 1 THEN 1 - c1 ELSE greatest(0.0, c1 - {MARGIN}) END) AS loss_raw, "
        f"avg(CASE WHEN y = 1 THEN 1 - c2 ELSE greatest(0.0, c2 - {MARGIN}) END) AS loss_norm, "
-       f"avg(CASE WHEN (CASE WHEN c1 < {PAIR_THRESHOLD} THEN -1 ELSE 1 END) = y THEN 1.0 ELSE 0.0 END) AS accuracy, "
+       f"avg(CASE WHEN (CASE WHEN c2 < {PAIR_THRESHOLD} THEN -1 ELSE 1 END) = y THEN 1.0 ELSE 0.0 END) AS accuracy, "
        "count(*) AS n FROM pc)")
 
 
@@ -156,17 +157,14 @@ def softmax_rows(spark, sf_dir):
         "id", F.col("t.qs").alias("q"), F.col("t.p").alias("p"))
 
 
-@query("softmax_articles", S.with_ctes(SCORES + [_SM], "SELECT id // 25 AS page, CAST(id % 25 AS INTEGER) AS para, q, "
+@query("softmax_articles", S.with_ctes(SCORES + [_SM], f"SELECT {S.page()} AS page, {S.para()} AS para, q, "
        "round(p, 6) AS p FROM sm"))
 def softmax_articles(spark, sf_dir):
-    """softmax over articles (prototypes) for each paragraph, long form with a window."""
+    """softmax over articles (prototypes) for each paragraph, inside the row's array."""
     s = scored_vectors(spark, sf_dir)
-    long = s.select((F.col("id") / 25).cast("long").alias("page"), (F.col("id") % 25).cast("int").alias("para"),
-                    F.explode(F.arrays_zip("qs", "cos")).alias("t"))
-    long = long.select("page", "para", F.col("t.qs").alias("q"), F.col("t.cos").alias("cs"))
-    w = Window.partitionBy("page", "para")
-    e = F.exp(F.col("cs") - F.max("cs").over(w))
-    return long.withColumn("_e", e).select("page", "para", "q", (F.col("_e") / F.sum("_e").over(w)).alias("p"))
+    long = s.select(tables.page_of().alias("page"), tables.para_of().alias("para"), "qs", V.softmax("cos").alias("p"))
+    return long.select("page", "para", F.explode(F.arrays_zip("qs", "p")).alias("t")).select(
+        "page", "para", F.col("t.qs").alias("q"), F.col("t.p").alias("p"))
 
 
 @query("cos_to_unit", S.with_ctes(SCORES, "SELECT id, q, round(-0.5 * (cs - 1), 6) AS dist FROM sc"))
@@ -225,8 +223,7 @@ def total_objective(spark, sf_dir):
 
 
 _HEADB = ("hb AS (SELECT id, label, CAST(floor((rn - 1) / 4) AS BIGINT) AS batch_id FROM "
-          "(SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) AS rn FROM vecs) "
-          "WHERE rn <= (SELECT min(c) FROM (SELECT count(*) AS c FROM vecs GROUP BY label)))")
+          "(SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) AS rn FROM vecs))")
 
 
 @query("loss_batch_mean", S.with_ctes(_CE + [_HEADB], "SELECT count(*) AS n_batches, round(avg(bl), 6) AS loss_batch_mean "
@@ -235,7 +232,7 @@ def loss_batch_mean(spark, sf_dir):
     """Mean of per-batch mean losses over balanced batches (4 samples per batch)."""
     v = tables.vectors(spark, sf_dir)
     ce = cross_entropy_double_softmax(assign.assign_to_prototypes(v, assign.class_mean_prototypes(v)))
-    b = prep.batch_rows(v.select("id", "label"), "label", "id", BATCH_SIZE).select("id", "batch_id")
+    b = prep.batches(v.select("id", "label"), "label", "id", BATCH_SIZE).select("id", "batch_id")
     per = ce.join(b, "id").groupBy("batch_id").agg(F.avg("loss").alias("bl"))
     return per.agg(F.count(F.lit(1)).alias("n_batches"), F.avg("bl").alias("loss_batch_mean"))
 
@@ -250,5 +247,5 @@ def loss_batch_mean(spark, sf_dir):
 def batch_context_q(spark, sf_dir):
     """Rows of a batch combined by softmax(dot) weights (long form id, pos, value)."""
     v = tables.vectors(spark, sf_dir)
-    b = prep.batch_rows(v.select("id", "label"), "label", "id", BATCH_SIZE).select("id", "batch_id")
+    b = prep.batches(v.select("id", "label"), "label", "id", BATCH_SIZE).select("id", "batch_id")
     return _long(batch_context(v.join(b, "id"), "batch_id"), ["id"], "y")

@@ -90,14 +90,32 @@ def agreement(cont: str, prefix: str = "s") -> list[str]:
     ]
 
 
-def report_select(scores: str = "s_scores", best: str = "m_best", keys: str = "") -> str:
+def page(id_: str = "id") -> str:
+    """Page of a vector id: runs of 300 ids make pages of 1, 2, ..., 24 paragraphs."""
+    return f"(24 * ({id_} // 300) + CAST(floor((sqrt(8 * ({id_} % 300) + 1) - 1) / 2) AS BIGINT))"
+
+
+def para(id_: str = "id") -> str:
+    """Position of a vector id in its page."""
+    t = f"CAST(floor((sqrt(8 * ({id_} % 300) + 1) - 1) / 2) AS BIGINT)"
+    return f"CAST(({id_} % 300) - {t} * ({t} + 1) // 2 AS INTEGER)"
+
+
+def report_select(scores: str = "s_scores", best: str = "m_best", keys: str = "", cont: str = "cont") -> str:
     """Final SELECT of a clustering report joined on g."""
     k = f"{keys}, " if keys else ""
     return (f"SELECT {k}s.n, CAST(b.best AS BIGINT) AS matched, {r6('b.best / s.n', 'acc')}, "
             f"{r6('s.ari', 'ari')}, {r6('s.nmi', 'nmi')}, {r6('s.accuracy', 'accuracy')}, "
-            f"{r6('s.accuracy', 'precision_micro')}, {r6('s.accuracy', 'recall_micro')}, "
-            f"{r6('CASE WHEN s.accuracy = 0 THEN 0.0 ELSE s.accuracy END', 'f1_micro')} "
-            f"FROM {scores} s JOIN {best} b ON b.g = s.g")
+            f"{r6('m.tp / (m.tp + m.fp)', 'precision_micro')}, {r6('m.tp / (m.tp + m.fn)', 'recall_micro')}, "
+            f"{r6('CASE WHEN m.tp = 0 THEN 0.0 ELSE 2 * m.tp / (2 * m.tp + m.fp + m.fn) END', 'f1_micro')} "
+            f"FROM {scores} s JOIN {best} b ON b.g = s.g JOIN {MICRO.format(cont=cont)} m ON m.g = s.g")
+
+
+# true positives, false positives and false negatives of each class, summed per group
+MICRO = ("(SELECT g, sum(tp) AS tp, sum(np - tp) AS fp, sum(nl - tp) AS fn FROM (SELECT g, cls, "
+         "sum(CASE WHEN pred = cls AND label = cls THEN n_ij ELSE 0 END) AS tp, sum(CASE WHEN pred = cls THEN n_ij ELSE 0 END) AS np, "
+         "sum(CASE WHEN label = cls THEN n_ij ELSE 0 END) AS nl FROM (SELECT c.*, k.cls FROM {cont} c JOIN (SELECT g, pred AS cls FROM {cont} "
+         "UNION SELECT g, label FROM {cont}) k USING (g)) GROUP BY g, cls) GROUP BY g)")
 
 
 def with_ctes(ctes: list[str], select: str, recursive: bool = False) -> str:

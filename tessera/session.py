@@ -92,29 +92,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def small_table(df: DataFrame, max_rows: int, what: str) -> DataFrame:
-    """Materialise a table that must stay small (lookups) and check its row count,
-    so that a later broadcast of it has a proven size bound."""
-    out = materialize(df, what)
-    n = out.count()
-    if n > max_rows:
-        raise ValueError(f"{what}: {n} rows exceeds the bound of {max_rows}")
-    return out
-
-
-def bounded_collect(df: DataFrame, max_rows: int, what: str, *aggs, out: str = "P") -> DataFrame:
-    """One row holding ``collect_list`` aggregates of at most ``max_rows`` input rows.
-
-    ``limit(max_rows + 1)`` bounds what the single collecting task can see; if
-    the input had more rows, the query fails instead of broadcasting a row
-    larger than the bound. Everything stays in the plan (no extra job).
-    """
-    lim = df.limit(max_rows + 1)
-    agg = lim.agg(F.count(F.lit(1)).alias("_n"), *aggs)
-    return agg.withColumn("_n", F.when(F.col("_n") > max_rows, F.raise_error(
-        F.lit(f"{what}: more than {max_rows} rows"))).otherwise(F.col("_n")))
-
-
 def one_row(df: DataFrame) -> DataFrame:
     """Marks a global aggregate (exactly one row) as safe to broadcast."""
     return F.broadcast(df)

@@ -7,54 +7,65 @@ paragraph-pair tables and page annotations. The driver tables stand in:
                    title = ``source``, description = ``text``, id = ``doc_id``
 - vectors       <- ``embeddings``: id ``vec_id``, ``embedding`` as array<double>, label 0-9
 - binary labels <- ``labels``
-- pages         <- ``embeddings``: page = vec_id div 25, paragraph = vec_id mod 25
+- pages         <- ``embeddings``: runs of 300 ids make pages of 1, 2, ..., 24 paragraphs
 - pairs         <- ``embeddings``: vec_id 2i with 2i+1
 - annotations   <- ``conversations``: page = conv_id, item = turn, reading order = role
 - bbox literals <- ``lineitem``
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import as_double_vector
 
-# fixed values: rows per page when vectors stand in for page paragraphs
-PAGE_SIZE = 25
+# fixed values: vectors stand in for page paragraphs, ``PAGE_RUN`` ids make pages of 1, 2, ..., ``MOST_PARAS`` paragraphs
+MOST_PARAS = 24
+PAGE_RUN = MOST_PARAS * (MOST_PARAS + 1) // 2
+# classes (languages) at most; they are ranked on the driver and looked up by broadcast
+MOST_CLASSES = 10_000
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet table of the driver data."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table of the driver data; the DataFrame (not the data) is reused per session,
-    which saves a footer read and schema resolution per query."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+def class_names(df: DataFrame, col: str) -> list[str]:
+    """Distinct non-null values of ``col`` in order; more than ``MOST_CLASSES`` are an error, never cut off."""
+    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(MOST_CLASSES + 1).collect()
+    if len(rows) > MOST_CLASSES:
+        raise ValueError(f"{col}: more than {MOST_CLASSES} classes")
+    return sorted(r[0] for r in rows)
 
 
-def dense_rank_small(df: DataFrame, col: str, out: str, max_distinct: int = 100_000) -> DataFrame:
-    """1-based dense rank of ``col`` without a global single-task window.
+def with_class_rank(df: DataFrame, col: str, out: str) -> DataFrame:
+    """1-based dense rank of ``col`` by a broadcast lookup: the rows of ``df`` are not shuffled."""
+    names = class_names(df, col)
+    ranks = df.sparkSession.createDataFrame([(n, i + 1) for i, n in enumerate(names)], f"`{col}` string, `{out}` int")
+    return df.join(F.broadcast(ranks), col, "left")
 
-    The distinct values are ranked on their own (a table of at most
-    ``max_distinct`` rows) and joined back; AQE turns the join into a
-    broadcast when the measured size allows.
-    """
-    keys = df.select(col).where(F.col(col).isNotNull()).distinct()
-    ranked = keys.withColumn(out, F.dense_rank().over(Window.orderBy(col)).cast("int"))
-    return df.join(ranked, col, "left")
+
+def page_of(id_col: str = "id"):
+    """Page of a vector id (pages of 1 to ``MOST_PARAS`` paragraphs)."""
+    r = F.col(id_col) % PAGE_RUN
+    return (F.floor(F.col(id_col) / PAGE_RUN) * MOST_PARAS + F.floor((F.sqrt(8 * r + 1) - 1) / 2)).cast("long")
+
+
+def para_of(id_col: str = "id"):
+    """Position of a vector id in its page, from 0."""
+    r = F.col(id_col) % PAGE_RUN
+    t = F.floor((F.sqrt(8 * r + 1) - 1) / 2)
+    return (r - t * (t + 1) / 2).cast("int")
 
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, class_index, title, description) from ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    ranked = dense_rank_small(docs, "lang", "class_index")
+    ranked = with_class_rank(docs, "lang", "class_index")
     return ranked.select("doc_id", "class_index", F.col("source").alias("title"),
                          F.col("text").alias("description"), "lang")
 
@@ -66,11 +77,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors laid out as pages of ``PAGE_SIZE`` paragraphs."""
-    return vectors(spark, sf_dir).select(
-        (F.col("id") / PAGE_SIZE).cast("long").alias("page"),
-        (F.col("id") % PAGE_SIZE).cast("int").alias("para"),
-        "id", "x", "label")
+    """Vectors laid out as pages of unequal length."""
+    return vectors(spark, sf_dir).select(page_of().alias("page"), para_of().alias("para"), "id", "x", "label")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
