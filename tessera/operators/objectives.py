@@ -2,6 +2,8 @@
 and the batch-context combination of rows."""
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,18 +51,18 @@ def margin_term(cos, y, margin: float):
 
 
 def pair_margin_loss(pairs: DataFrame, margin: float, ratio_cls: float, ratio_model: float,
-                     threshold: float = 0.2) -> DataFrame:
-    """One row: n, loss_raw, loss_norm, loss (weighted sum), accuracy of the threshold classifier
+                     threshold: float = 0.2, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (one for each of ``keys``): n, loss_raw, loss_norm, loss (weighted sum), accuracy of the threshold classifier
     (which thresholds the second, normalised pair).
 
     ``pairs`` has x_1, x_2 and a 0/1 label ``y`` (0 becomes -1). The second
     term compares the layer-normalised vectors.
     """
     y = F.when(F.col("y") == 0, F.lit(-1)).otherwise(F.col("y"))
-    d = pairs.select(y.alias("ypm"), V.cosine("x_1", "x_2").alias("c1"),
+    d = pairs.select(*keys, y.alias("ypm"), V.cosine("x_1", "x_2").alias("c1"),
                      V.cosine(V.layer_norm("x_1"), V.layer_norm("x_2")).alias("c2"))
     pred = F.when(F.col("c2") < F.lit(threshold), F.lit(-1)).otherwise(F.lit(1))
-    agg = d.agg(F.count(F.lit(1)).alias("n"),
+    agg = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                 F.avg(margin_term(F.col("c1"), F.col("ypm"), margin)).alias("loss_raw"),
                 F.avg(margin_term(F.col("c2"), F.col("ypm"), margin)).alias("loss_norm"),
                 F.avg(F.when(pred == F.col("ypm"), 1.0).otherwise(0.0)).alias("accuracy"))

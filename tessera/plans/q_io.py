@@ -1,11 +1,10 @@
 """Sources and sinks, the metric-gated save, the fit loop, and the text encoder."""
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF, IDF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.encoders import encode
 from tessera.operators import assign, metrics, prep
 from tessera.operators.objectives import cross_entropy_double_softmax
 from tessera.plans import q_prep
@@ -80,16 +79,17 @@ def catalog_load(spark, sf_dir):
     return cat.load("corpus", "test")
 
 
-@query("scan_text_dir")
+@query("scan_text_dir", f"WITH {DOCS}, f AS (SELECT 'class_index=' || class_index AS folder, description FROM docs "
+       "WHERE class_index IS NOT NULL) SELECT CAST(dense_rank() OVER (ORDER BY folder) AS INTEGER) AS class_rank, folder, "
+       "count(*) AS n_texts, CAST(sum(length(description)) AS BIGINT) AS n_chars FROM f GROUP BY folder")
 def scan_text_dir(spark, sf_dir):
-    """A folder of text files per class; one row per file, class = rank of its folder."""
+    """A folder of texts per class; one row per text, class = rank of its folder."""
     path = stage_path(spark, "text-dir")
-    corpus = tables.text_corpus(spark, sf_dir)
+    corpus = tables.text_corpus(spark, sf_dir).where(F.col("class_index").isNotNull())
     files.write_text_dir(corpus.withColumn("text", T.newline_to_space("description")), path, "class_index", "text")
-    back = files.read_text_dir(spark, path)
-    ranked = tables.with_class_rank(back, "folder", "class_rank")
-    return ranked.groupBy("class_rank", "folder").agg(F.count(F.lit(1)).alias("n_files"),
-                                                      F.sum(F.length("text")).alias("n_chars"))
+    ranked = tables.with_class_rank(files.read_text_dir(spark, path), "folder", "class_rank")
+    return ranked.groupBy("class_rank", "folder").agg(F.count(F.lit(1)).alias("n_texts"),
+                                                      F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
 @query("scan_page_xml", "SELECT conv_id AS page, turn AS item, role AS reading_order FROM conversations")
@@ -130,16 +130,14 @@ def _batch_acc(v, protos):
 
 @query("gated_save", f"SELECT acc_batch_mean, {STORE_THRESHOLD} AS threshold, acc_batch_mean > {STORE_THRESHOLD} AS saved "
        f"FROM ({_BATCH})")
-def gated_save(spark, sf_dir):
-    """Prototypes are written only when the batch-mean ACC is strictly above 0.75."""
+def gated_save(spark, sf_dir, path: str | None = None, threshold: float = STORE_THRESHOLD):
+    """Prototypes are written to ``path`` only when the batch-mean ACC is strictly above ``threshold``."""
     v = tables.vectors(spark, sf_dir)
     protos = assign.class_mean_prototypes(v)
-    row = _batch_acc(v, protos).first()
-    saved = row["acc_batch_mean"] > STORE_THRESHOLD
-    if saved:
-        protos.write.mode("overwrite").parquet(stage_path(spark, "prototypes"))
-    return spark.createDataFrame([(float(row["acc_batch_mean"]), STORE_THRESHOLD, bool(saved))],
-                                 "acc_batch_mean double, threshold double, saved boolean")
+    acc = float(_batch_acc(v, protos).first()["acc_batch_mean"])
+    if acc > threshold:
+        protos.write.mode("overwrite").parquet(path or stage_path(spark, "prototypes"))
+    return spark.createDataFrame([(acc, threshold, acc > threshold)], "acc_batch_mean double, threshold double, saved boolean")
 
 
 @query("fit_loop")
@@ -169,13 +167,29 @@ def fit_loop(spark, sf_dir):
     return spark.createDataFrame(rows, "round int, loss double, acc_batch_mean double, saved boolean, lr_scale double")
 
 
-@query("embed_text")
+_TOKS = ("tc AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(CASE WHEN length(trim(text)) = 0 "
+         "THEN []::VARCHAR[] ELSE string_split_regex(trim(text), '\\s+') END) AS term FROM documents) GROUP BY ALL)")
+_UNIT = ("SELECT doc_id, count(*) AS n_terms, round(sum(w / n), 6) AS weight_sum, round(max(w / n), 6) AS weight_max, "
+         "round(sum((w / n) * length(term)), 6) AS by_length FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS n "
+         "FROM wt) WHERE n > 0 GROUP BY doc_id")
+
+
+def _per_document(vectors):
+    """Figures of each document that every weight takes part in."""
+    return vectors.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sum("weight").alias("weight_sum"), F.max("weight").alias("weight_max"),
+        F.sum(F.col("weight") * F.length("term")).alias("by_length"))
+
+
+@query("embed_text", f"WITH {_TOKS}, df AS (SELECT term, count(*) AS df FROM tc GROUP BY term), "
+       "wt AS (SELECT doc_id, term, tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) AS w FROM tc JOIN df USING (term)) "
+       + _UNIT)
 def embed_text(spark, sf_dir):
-    """Text -> vector with the offline encoder (hashed term counts, IDF, L2 normalisation)."""
-    d = tables.table(spark, sf_dir, "documents").select("doc_id", T.tokens("text").alias("tokens"))
-    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=1 << 16).transform(d)
-    idf = IDF(inputCol="tf", outputCol="tfidf").fit(tf).transform(tf)
-    out = Normalizer(inputCol="tfidf", outputCol="vec", p=2.0).transform(idf)
-    a = vector_to_array("vec")
-    return out.select("doc_id", F.size(F.filter(a, lambda x: x != 0)).alias("nnz"),
-                      F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+    """Text -> sparse vector with the ``tfidf`` encoder (long form, unit length); figures of each document."""
+    return _per_document(encode(tables.table(spark, sf_dir, "documents"), "tfidf"))
+
+
+@query("embed_text_tf", f"WITH {_TOKS}, wt AS (SELECT doc_id, term, CAST(tf AS DOUBLE) AS w FROM tc) " + _UNIT)
+def embed_text_tf(spark, sf_dir):
+    """The ``tf`` encoder chosen by name."""
+    return _per_document(encode(tables.table(spark, sf_dir, "documents"), "tf"))

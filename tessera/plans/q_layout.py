@@ -65,16 +65,48 @@ def bbox_rect(spark, sf_dir):
     return r.select("l_orderkey", "l_linenumber", *[F.col("r")[i].alias(f"r{i + 1}") for i in range(4)])
 
 
-@query("position_lookup", f"WITH {BOX}, {SCALED}, {CENTER}, "
+# fixed values: rows of the x and y position tables
+X_ROWS, Y_ROWS, POSITION_DIM = 3000, 5000, 4
+
+_PAIRED = ("bp AS (SELECT a.l_orderkey, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ct a JOIN ct b "
+           "ON b.l_orderkey = a.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2)")
+_POS = (f"px AS (SELECT vec_id AS k, CAST(embedding[1:{POSITION_DIM}] AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < {X_ROWS}), "
+        f"py AS (SELECT vec_id AS k, CAST(embedding[1:{POSITION_DIM}] AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < {Y_ROWS})")
+
+
+@query("position_lookup", f"WITH {BOX}, {SCALED}, {CENTER}, {_PAIRED}, {_POS}, lk AS (SELECT l_orderkey, a.v AS vx1, b.v AS vx2, "
+       "c.v AS vy1, d.v AS vy2 FROM bp LEFT JOIN px a ON a.k = x1 LEFT JOIN px b ON b.k = x2 LEFT JOIN py c ON c.k = y1 "
+       "LEFT JOIN py d ON d.k = y2) SELECT l_orderkey, CAST((vx1 IS NULL)::INT + (vx2 IS NULL)::INT + (vy1 IS NULL)::INT + (vy2 IS NULL)::INT "
+       "AS INTEGER) AS outside, CAST(pos AS INTEGER) AS pos, round((vx1[pos + 1] + vx2[pos + 1]) / 2, 6) AS x_all, "
+       f"round((vy1[pos + 1] + vy2[pos + 1]) / 2, 6) AS y_all FROM lk, (SELECT unnest(range({POSITION_DIM})) AS pos)")
+def position_lookup(spark, sf_dir):
+    """Rows of the x and y position tables looked up for both boxes of an order, and their mean; ids without a
+    row give null and are counted in ``outside``."""
+    c = _centers(spark, sf_dir)
+    one = c.where("l_linenumber = 1").select("l_orderkey", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    two = c.where("l_linenumber = 2").select("l_orderkey", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    rows = tables.vectors(spark, sf_dir).select(F.col("id").alias("k"), F.slice("x", 1, POSITION_DIM).alias("v"))
+    looked = one.join(two, "l_orderkey")
+    for name, most in (("x1", X_ROWS), ("x2", X_ROWS), ("y1", Y_ROWS), ("y2", Y_ROWS)):
+        # bounded by the grid: at most X_ROWS or Y_ROWS rows of POSITION_DIM values
+        grid = rows.where(F.col("k") < most).select(F.col("k").alias(name), F.col("v").alias(f"v{name}"))
+        looked = looked.join(F.broadcast(grid), name, "left")
+    outside = sum(F.col(f"v{n}").isNull().cast("int") for n in ("x1", "x2", "y1", "y2"))
+    slot = F.explode(F.sequence(F.lit(0), F.lit(POSITION_DIM - 1)))
+    d = looked.select("l_orderkey", outside.alias("outside"), slot.alias("pos"), "vx1", "vx2", "vy1", "vy2")
+    mean = lambda a, b: (F.col(a)[F.col("pos")] + F.col(b)[F.col("pos")]) / 2
+    return d.select("l_orderkey", "outside", "pos", mean("vx1", "vx2").alias("x_all"), mean("vy1", "vy2").alias("y_all"))
+
+
+@query("position_counts", f"WITH {BOX}, {SCALED}, {CENTER}, "
        "xs AS (SELECT x, count(*) AS x_count FROM ct GROUP BY x), ys AS (SELECT y, count(*) AS y_count FROM ct GROUP BY y) "
        "SELECT ct.l_orderkey, ct.l_linenumber, ct.x, ct.y, xs.x_count, ys.y_count FROM ct JOIN xs USING (x) JOIN ys USING (y)")
-def position_lookup(spark, sf_dir):
-    """Look up per-position rows (x grid <= 3000 values, y grid <= 5000) by integer id."""
+def position_counts(spark, sf_dir):
+    """How many boxes share each centre coordinate."""
     c = _centers(spark, sf_dir)
-    # the lookup tables are bounded by the grid (3001 / 5001 keys), so broadcasting them is safe
     xs = c.groupBy("x").agg(F.count(F.lit(1)).alias("x_count"))
     ys = c.groupBy("y").agg(F.count(F.lit(1)).alias("y_count"))
-    return c.join(F.broadcast(xs), "x").join(F.broadcast(ys), "y").select(
+    return c.join(xs, "x").join(ys, "y").select(
         "l_orderkey", "l_linenumber", "x", "y", "x_count", "y_count")
 
 

@@ -137,12 +137,15 @@ def pair_accuracy(spark, sf_dir):
                             PAIR_THRESHOLD).select("n", "accuracy")
 
 
-@query("evaluate_pairs", f"WITH {_PM} SELECT n, {S.r6(f'{RATIO_CLS} * loss_raw + {RATIO_MODEL} * loss_norm', 'loss')}, "
-       f"{S.r6('accuracy', 'accuracy')} FROM pl")
+@query("evaluate_pairs", f"WITH {_PM}, bl AS (SELECT avg({RATIO_CLS} * CASE WHEN y = 1 THEN 1 - c1 ELSE greatest(0.0, c1 - {MARGIN}) END "
+       f"+ {RATIO_MODEL} * CASE WHEN y = 1 THEN 1 - c2 ELSE greatest(0.0, c2 - {MARGIN}) END) AS l FROM pc GROUP BY pair_id // {BATCH_SIZE}) "
+       f"SELECT n, (SELECT round(avg(l), 6) FROM bl) AS loss, {S.r6('accuracy', 'accuracy')} FROM pl")
 def evaluate_pairs(spark, sf_dir):
-    """K7: pair-model evaluation: margin loss and threshold accuracy."""
-    return pair_margin_loss(tables.pairs(spark, sf_dir), MARGIN, RATIO_CLS, RATIO_MODEL,
-                            PAIR_THRESHOLD).select("n", "loss", "accuracy")
+    """K7: pair-model evaluation: mean over batches of the batch's mean margin loss, and threshold accuracy."""
+    pairs = tables.pairs(spark, sf_dir).withColumn("batch", F.floor(F.col("pair_id") / BATCH_SIZE))
+    per = pair_margin_loss(pairs, MARGIN, RATIO_CLS, RATIO_MODEL, PAIR_THRESHOLD, keys=["batch"])
+    return per.agg(F.sum("n").alias("n"), F.avg("loss").alias("loss"),
+                   (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("accuracy"))
 
 
 _SM = ("sm AS (SELECT id, label, q, e / sum(e) OVER (PARTITION BY id) AS p FROM "

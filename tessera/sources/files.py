@@ -16,8 +16,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """CSV scan with a fixed schema (no inference pass over the data)."""
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    """CSV scan with a fixed schema (no inference pass over the data); a malformed row is an error."""
+    return spark.read.options(**CSV_OPTIONS, mode="FAILFAST").schema(schema).csv(path)
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
@@ -47,11 +47,11 @@ def write_text_dir(df: DataFrame, path: str, cls: str, text: str) -> None:
 
 
 def read_text_dir(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file; the class is the 1-based rank of its folder name."""
-    raw = spark.read.text(path, wholetext=True).select(
+    """One row per text (a line of a file) with the name of its folder; files are split as any text file."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, lineSep="\n").select(
         F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"))
     folder = F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1)
-    return raw.withColumn("folder", folder)
+    return raw.withColumn("folder", F.replace(folder, F.lit("%3D"), F.lit("=")))
 
 
 def write_xml(df: DataFrame, path: str, row_tag: str, root_tag: str) -> None:
