@@ -40,6 +40,12 @@ def compose_text(title, description) -> Column:
     return F.coalesce(F.concat(t, F.lit(" "), d), d, t)
 
 
+def compose_text_strict(title, description) -> Column:
+    """``title + ' ' + description``; a null part is an error."""
+    both = F.concat(_c(title), F.lit(" "), _c(description))
+    return F.when(both.isNull(), F.raise_error(F.lit("title and description must not be null"))).otherwise(both)
+
+
 def compose_text_nan(title, description) -> Column:
     """Stringify-then-concat: a null part is written as ``nan``."""
     return F.concat(F.coalesce(_c(title), F.lit("nan")), F.lit(" "),

@@ -25,6 +25,14 @@ def contingency(df: DataFrame, keys: Sequence[str] = (), pred: str = "pred",
             .agg(F.count(F.lit(1)).alias("n_ij")))
 
 
+def contingency_matrix(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
+    """(pred, label, n_ij) for every pair of classes that occur on either side, zeros filled in (the matrix itself)."""
+    cont = contingency(df, (), pred, label)
+    classes = cont.select(F.col("pred").alias("d")).union(cont.select("label")).distinct()
+    grid = classes.withColumnRenamed("d", "pred").join(classes.withColumnRenamed("d", "label"))
+    return grid.join(cont, ["pred", "label"], "left").select("pred", "label", F.coalesce("n_ij", F.lit(0)).alias("n_ij"))
+
+
 def packed_contingency(df: DataFrame, keys: Sequence[str] = (), pred: str = "pred",
                        label: str = "label") -> DataFrame:
     """Contingency of each group packed into one row (``_rows`` = preds, ``_cols`` = labels)."""

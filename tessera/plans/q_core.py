@@ -72,6 +72,16 @@ def contingency(spark, sf_dir):
     return metrics.contingency(scored_vectors(spark, sf_dir))
 
 
+@query("contingency_matrix", S.with_ctes(
+    BASE + ["cont AS (SELECT pred, label, count(*) AS n_ij FROM pred GROUP BY pred, label)",
+            "d AS (SELECT pred AS k FROM cont UNION SELECT label FROM cont)"],
+    "SELECT a.k AS pred, b.k AS label, coalesce(n_ij, 0) AS n_ij FROM d a CROSS JOIN d b "
+    "LEFT JOIN cont ON cont.pred = a.k AND cont.label = b.k"))
+def contingency_matrix(spark, sf_dir):
+    """A4: the D x D matrix of counts, D = classes on either side, with its zeros."""
+    return metrics.contingency_matrix(scored_vectors(spark, sf_dir))
+
+
 def _metric_sql(cols: str) -> str:
     return S.with_ctes(
         BASE + ["cont AS (SELECT 0 AS g, pred, label, count(*) AS n_ij FROM pred GROUP BY pred, label)"]

@@ -18,7 +18,7 @@ from tessera.sources import files, tables
 STORE_THRESHOLD = 0.75
 PLATEAU_FACTOR = 0.5
 PLATEAU_PATIENCE = 2
-FIT_ROUNDS = 4
+LEAST_SCALE = 0.3
 # fixed values: per-language path prefix of the file manifest
 MANIFEST_PREFIX = {"en": "EN_set/", "fr": "FR_set/", "de": "DE_set/", "es": "ES_set/"}
 MANIFEST_ITEMS = 100
@@ -92,12 +92,20 @@ def scan_text_dir(spark, sf_dir):
                                                       F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
-@query("scan_page_xml", "SELECT conv_id AS page, turn AS item, role AS reading_order FROM conversations")
+_CORNERS = ("'[[' || x || ', ' || y || '], [' || (x + 40) || ', ' || y || '], [' || (x + 40) || ', ' || (y + 12) || '], [' || x || ', ' || (y + 12) || ']]'")
+
+
+@query("scan_page_xml", f"SELECT conv_id AS page, turn AS item, role AS reading_order, {_CORNERS} AS corners FROM "
+       "(SELECT *, conv_id * 7 % 3000 AS x, turn * 13 % 5000 AS y FROM conversations)")
 def scan_page_xml(spark, sf_dir):
-    """Page annotations written as XML and read back with a row tag and a fixed schema."""
+    """Page annotations (reading order and the corner list of the box) written as XML and read back with a row tag
+    and a fixed schema."""
     path = stage_path(spark, "pages-xml")
-    files.write_xml(tables.annotations(spark, sf_dir), path, "region", "page")
-    return files.read_xml(spark, path, "region", "page BIGINT, item BIGINT, reading_order STRING")
+    x, y = F.col("page") * 7 % 3000, F.col("item") * 13 % 5000
+    corner = lambda a, b: F.concat(F.lit("["), a.cast("string"), F.lit(", "), b.cast("string"), F.lit("]"))
+    corners = F.concat(F.lit("["), F.concat_ws(", ", corner(x, y), corner(x + 40, y), corner(x + 40, y + 12), corner(x, y + 12)), F.lit("]"))
+    files.write_xml(tables.annotations(spark, sf_dir).withColumn("corners", corners), path, "region", "page")
+    return files.read_xml(spark, path, "region", "page BIGINT, item BIGINT, reading_order STRING, corners STRING")
 
 
 _prefix_case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MANIFEST_PREFIX.items())
@@ -140,31 +148,47 @@ def gated_save(spark, sf_dir, path: str | None = None, threshold: float = STORE_
     return spark.createDataFrame([(acc, threshold, acc > threshold)], "acc_batch_mean double, threshold double, saved boolean")
 
 
+def fit_rounds(v, evaluate, save, threshold: float = STORE_THRESHOLD, factor: float = PLATEAU_FACTOR,
+               patience: int = PLATEAU_PATIENCE, least_scale: float = LEAST_SCALE):
+    """Fit-evaluate rounds of prototypes until the plateau rule has brought the step size below ``least_scale``.
+
+    A round moves each prototype by ``scale`` towards the mean of the vectors assigned to it. ``patience`` rounds without a
+    smaller loss, and one more, multiply ``scale`` by ``factor``. ``evaluate(protos)`` gives (loss, acc); ``save(protos, round)``
+    is called when acc is strictly above ``threshold``. Returns (round, loss, acc, saved, scale) of each round.
+    """
+    protos = materialize(assign.class_mean_prototypes(v), "prototypes-fit0")   # k rows: cut the lineage each round
+    best, bad, scale, rows = float("inf"), 0, 1.0, []
+    while scale >= least_scale:
+        r = len(rows)
+        loss, acc = evaluate(protos)
+        if acc > threshold:
+            save(protos, r)
+        best, bad = (loss, 0) if loss < best else (best, bad + 1)
+        if bad > patience:
+            scale, bad = scale * factor, 0
+        rows.append((r, loss, acc, acc > threshold, scale))
+        scored = assign.assign_to_prototypes(v, protos).select(F.col("pred").alias("q"), "x")
+        new = assign.mean_vectors(scored, ["q"], "x", "c_new")
+        moved = F.zip_with("c", "c_new", lambda a, b: a + F.lit(scale) * (b - a))
+        protos = materialize(protos.join(new, "q", "left").select("q", F.coalesce(moved, F.col("c")).alias("c")),
+                             f"prototypes-fit{r + 1}")
+    return rows
+
+
 @query("fit_loop")
 def fit_loop(spark, sf_dir):
-    """K5: fit-evaluate rounds (spherical k-means refinement of class-mean prototypes),
-    metric-gated save and a plateau rule (factor 0.5, patience 2) on the loss."""
+    """K5: fit-evaluate rounds with metric-gated save and plateau rule (factor 0.5, patience 2), one row a round;
+    ``best`` marks the round with the smallest loss."""
     v = tables.vectors(spark, sf_dir)
-    protos = assign.class_mean_prototypes(v)
-    best, bad, scale, rows = float("inf"), 0, 1.0, []
-    for r in range(FIT_ROUNDS):
-        protos = materialize(protos, f"prototypes-fit{r}")   # k rows: cut the lineage each round
+
+    def evaluate(protos):
         m = _batch_acc(v, protos).first()
-        saved = m["acc_batch_mean"] > STORE_THRESHOLD
-        if saved:
-            protos.write.mode("overwrite").parquet(stage_path(spark, f"prototypes-round{r}"))
-        if m["loss"] < best:
-            best, bad = m["loss"], 0
-        else:
-            bad += 1
-            if bad > PLATEAU_PATIENCE:
-                scale *= PLATEAU_FACTOR
-                bad = 0
-        rows.append((r, float(m["loss"]), float(m["acc_batch_mean"]), bool(saved), scale))
-        scored = assign.assign_to_prototypes(v, protos).select(F.col("pred").alias("q"), "x")
-        new = assign.mean_vectors(scored, ["q"], "x", "c_new")
-        protos = protos.join(new, "q", "left").select("q", F.coalesce("c_new", "c").alias("c"))
-    return spark.createDataFrame(rows, "round int, loss double, acc_batch_mean double, saved boolean, lr_scale double")
+        return float(m["loss"]), float(m["acc_batch_mean"])
+
+    rows = fit_rounds(v, evaluate, lambda protos, r: protos.write.parquet(stage_path(spark, f"prototypes-round{r}")))
+    least = min(row[1] for row in rows)
+    return spark.createDataFrame([(*row, row[1] == least) for row in rows],
+                                 "round int, loss double, acc_batch_mean double, saved boolean, lr_scale double, best boolean")
 
 
 _TOKS = ("tc AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(CASE WHEN length(trim(text)) = 0 "

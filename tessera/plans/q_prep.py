@@ -251,10 +251,17 @@ def _with_nulls(spark, sf_dir):
 @query("compose_text", f"SELECT doc_id, coalesce(title || ' ' || description, description, title) AS text "
        f"FROM ({_NULLS})")
 def compose_text(spark, sf_dir):
-    """title + ' ' + description, else description, else title (nulls from the labels join)."""
+    """title + ' ' + description, else description, else title (nulls from the labels join)."""
     return _with_nulls(spark, sf_dir).select("doc_id", T.compose_text("title", "description").alias("text"))
 
 
+@query("compose_text_strict", "SELECT doc_id, source || ' ' || text AS text FROM documents")
+def compose_text_strict(spark, sf_dir):
+    """title + ' ' + description; a null part fails the query."""
+    d = tables.table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.compose_text_strict("source", "text").alias("text"))
+
+
 @query("compose_text_nan", f"SELECT doc_id, coalesce(title, 'nan') || ' ' || coalesce(description, 'nan') AS text "
        f"FROM ({_NULLS})")
 def compose_text_nan(spark, sf_dir):

@@ -33,3 +33,26 @@ def test_malformed_csv_row_is_an_error(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,2\nnot a number,3\n")
     with pytest.raises(Exception):
         files.read_csv(spark, str(tmp_path / "x.csv"), "a INT, b INT").collect()
+
+
+def test_plateau_rule_halves_and_stops(spark):
+    v = spark.createDataFrame([(i, [float(i % 3), 1.0], i % 3) for i in range(12)], "id long, x array<double>, label int")
+    losses, kept = iter([3.0, 2.0, 2.0, 2.0, 2.0, 1.0, 1.0, 1.0, 1.0]), []
+    rows = q_io.fit_rounds(v, lambda p: (next(losses), 0.9), lambda p, r: kept.append(r))
+    assert [r[4] for r in rows] == [1.0, 1.0, 1.0, 1.0, 0.5, 0.5, 0.5, 0.5, 0.25]
+    assert kept == list(range(9))
+
+
+def test_strict_concat_fails_on_null(spark):
+    from tessera.functions import text as T
+    df = spark.createDataFrame([("a", "b"), ("a", None)], "t string, d string")
+    assert df.limit(1).select(T.compose_text_strict("t", "d").alias("x")).first()["x"] == "a b"
+    with pytest.raises(Exception):
+        df.select(T.compose_text_strict("t", "d").alias("x")).collect()
+
+
+def test_matched_l1_terms(spark):
+    from tessera.plans.q_match import filter_pred_article, matched_l1
+    rows = matched_l1(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 44 and all(sum(r[c] for r in rows) > 0 for c in ("class_l1", "para_l1", "cos_l1"))
+    assert filter_pred_article(spark, "/root/testdata/sf0.01").count() > 0
