@@ -95,26 +95,19 @@ def pivotal(sizes: np.ndarray, mass: np.ndarray, draws: np.ndarray) -> tuple[np.
             at, held = i, m
             continue
         cap = float(sizes[at])
-        up, down = min(cap - held, m), min(held, size - m)      # to the held one, from the held one
-        if u * (up + down) < down:
-            fills, empties = up == cap - held, up == m
-            left, held_left = m - up, held + up
-        else:
-            fills, empties = down == size - m, down == held
-            left, held_left = m + down, held - down
-            # seen from the other document
-            if fills:
-                taken[i] = 1
-            if empties:
-                at, held = (-1, 0.0) if fills else (i, left)
-            else:
-                held = held_left
-            continue
-        if fills:
+        gain, loss = min(cap - held, m), min(held, size - m)
+        if u * (gain + loss) < loss:        # the held one gains: it is full, or the new one is empty, or both
+            if gain < cap - held:
+                held += gain
+                continue
             taken[at] = 1
-            at, held = (-1, 0.0) if empties else (i, left)
-        else:
-            held = held_left
+            at, held = (-1, 0.0) if gain == m else (i, m - gain)
+        else:                               # the held one loses: it is empty, or the new one is full, or both
+            taken[i] = int(loss == size - m)
+            if loss < held:
+                held -= loss
+            else:
+                at, held = (-1, 0.0) if taken[i] else (i, m + loss)
     if at >= 0:
         size = float(sizes[at])
         if held <= 1e-9 * size or held >= size * (1 - 1e-9):
