@@ -309,7 +309,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = known.where("toxic = 1").orderBy(first, id_col).limit(per_class).unionByName(
         known.where("toxic = 0").orderBy(first, id_col).limit(per_class))
     texts = docs.select(id_col, F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
-    rows = (texts.join(F.broadcast(chosen), id_col).dropDuplicates([id_col])
+    # of rows that repeat an id the first text counts
+    rows = (texts.join(F.broadcast(chosen), id_col).groupBy(id_col, "toxic").agg(F.min("text").alias("text"))
             .select("toxic", (fold(id_col) == 3).alias("calibrates"), "text", F.col(id_col).alias("_id"))
             .orderBy("_id").collect())
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
