@@ -176,13 +176,15 @@ class Matched:
     """The matches of many units with a table, found once, for values under changing weights."""
 
     def __init__(self, table: SubsequenceTable, units: list[str], block: int = 20_000):
-        found = [(u.astype(np.int32) + np.int32(first), a.astype(np.int32), np.full(len(u), w, np.float32))
-                 for first in range(0, len(units), block) for u, a, w in table.matches(units[first:first + block])]
-        self.unit, self.at, self.weight = (np.concatenate(x) for x in zip(*found))
+        self.parts = [(slice(first, first + block), u.astype(np.int32), a.astype(np.int32), w)
+                      for first in range(0, len(units), block) for u, a, w in table.matches(units[first:first + block])]
         self.norms = norms(units)
 
     def values(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.unit, self.weight * weights[self.at], len(self.norms)) / self.norms
+        out = np.zeros(len(self.norms))
+        for where, unit, at, weight in self.parts:
+            out[where] += weight * np.bincount(unit, weights[at], len(out[where]))
+        return out / self.norms
 
 
 class ToxicityModel:
