@@ -6,8 +6,9 @@ bounded store of chunks it has met; a chunk in the store is not encoded again. A
 also inside a word, so a chunk is kept as (head, ids of the body, tail): the body lies between the first
 and the last break at which encoding cannot depend on the surroundings (see ``units``). Each join is
 repaired by encoding tail + next head again; where a chunk has no break the seam goes on into the next
-chunk until one is met. From there on the ids agree with those of the whole text. Decoding takes the
-joined ids of the whole document.
+chunk until one is met. From there on the ids agree with those of the whole text. What the library decodes
+a body or a seam to is stored beside its ids, and the parts are put together as the decoder would: with a space
+where there is no decoder, directly for a byte-level one; for any other decoder the ids of the whole text are decoded.
 
 The store is per worker and bounded by characters, so nothing is shuffled. (One store for the cluster
 would move every text once and every id twice; see the README.)
@@ -17,6 +18,7 @@ empty table gives an empty result.
 """
 from __future__ import annotations
 
+import json
 import uuid
 from typing import Iterator
 
@@ -63,14 +65,34 @@ def cut_points(text: str) -> list[int]:
     return ends
 
 
+def part_separator(blob: bytes) -> str | None:
+    """What stands between decoded parts of a text; None if parts can't be decoded on their own."""
+    decoder = json.loads(blob).get("decoder")
+    if decoder is None:
+        return " "
+    return "" if decoder["type"] == "ByteLevel" else None
+
+
 class ChunkEncoder:
-    """Encodes texts chunk by chunk; chunks met before come from the store."""
+    """Encodes texts chunk by chunk, decoded parts beside the ids; chunks met before come from the store."""
 
-    def __init__(self, units: UnitEncoder, store_chars: int = STORE_CHARS):
-        self.units, self.ids, self.store, self.room = units, UnitCache(units, np.ndarray.tobytes, CACHE_PIECES), {}, store_chars
+    def __init__(self, units: UnitEncoder, separator: str | None, store_chars: int = STORE_CHARS):
+        self.units, self.separator, self.store, self.room = units, separator, {}, store_chars
+        self.ids = UnitCache(units, self._part, CACHE_PIECES)
         self.encoded = self.reused = 0
 
-    def _chunk(self, chunk: str) -> tuple[str, bytes, str | None]:
+    def _part(self, ids: np.ndarray) -> tuple[bytes, str]:
+        return ids.tobytes(), self._decode(ids) if self.separator is not None else ""
+
+    def _decode(self, ids: np.ndarray) -> str:
+        return self.units.tok.decode(ids.tolist(), skip_special_tokens=False)
+
+    def _join(self, parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+        """Parts one after the other; a part without ids leaves no trace."""
+        ids, texts = zip(*parts)
+        return b"".join(ids), (self.separator or "").join([t for i, t in parts if i] if b"" in ids else texts)
+
+    def _chunk(self, chunk: str) -> tuple[str, tuple[bytes, str], str | None]:
         known = self.store.get(chunk)
         if known is not None:
             self.reused += 1
@@ -78,10 +100,10 @@ class ChunkEncoder:
         self.encoded += 1
         i = first_break(chunk)
         if i < 0:
-            parts = (chunk, b"", None)
+            parts = (chunk, (b"", ""), None)
         else:
             j = last_break(chunk)
-            body = b"".join(self.ids.lookup(split_units(chunk[i + 1:j]))) if j > i else b""
+            body = self._join(list(self.ids.lookup(split_units(chunk[i + 1:j])))) if j > i else (b"", "")
             parts = (chunk[:i], body, chunk[j:])
         while self.store and self.room < len(chunk):
             self.room += len(old := next(iter(self.store)))
@@ -91,13 +113,16 @@ class ChunkEncoder:
             self.room -= len(chunk)
         return parts
 
-    def _seam(self, seam: str) -> bytes:
-        """Ids of what lies between two bodies: tail and head of the chunks that meet, encoded as one."""
+    def _seam(self, seam: str) -> tuple[bytes, str]:
+        """What lies between two bodies: tail and head of the chunks that meet, encoded as one."""
         if not seam:
-            return b""
-        return next(self.ids.lookup([seam[1:]])) if seam[0] == " " and len(seam) > 1 else self.units.one(seam).tobytes()
+            return b"", ""
+        if seam[0] == " " and len(seam) > 1:
+            return next(self.ids.lookup([seam[1:]]))
+        return self._part(self.units.one(seam))
 
-    def __call__(self, text: str) -> bytes:
+    def __call__(self, text: str) -> tuple[bytes, str]:
+        """Ids of ``text`` (4 bytes each) and what they decode to."""
         out, seam, start = [], "", 0
         for end in cut_points(text):
             head, body, tail = self._chunk(text[start:end])
@@ -108,7 +133,8 @@ class ChunkEncoder:
             out += (self._seam(seam), body)
             seam = tail
         out.append(self._seam(seam))
-        return b"".join(out)
+        ids, decoded = self._join(out)
+        return ids, decoded if self.separator is not None else self._decode(np.frombuffer(ids, "<u4"))
 
 
 def encode_decode(docs: DataFrame, blob: bytes, id_col: str = "doc_id", text_col: str = "text",
@@ -122,13 +148,11 @@ def encode_decode(docs: DataFrame, blob: bytes, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make():
-            own = UnitEncoder(sent.value)
-            return own.tok, ChunkEncoder(own)
+            return ChunkEncoder(UnitEncoder(sent.value), part_separator(sent.value))
 
-        own, encode = per_worker(("bpe", key), make, keep=1)
+        encode = per_worker(("bpe", key), make, keep=1)
         for batch in slices(batches, 128):
-            ids = [encode(text or "") for text in batch.column(len(keep)).to_pylist()]
-            decoded = [own.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False) for x in ids]
+            ids, decoded = zip(*[encode(text or "") for text in batch.column(len(keep)).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keep)], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
                 [*keep, "ids", "decoded"])

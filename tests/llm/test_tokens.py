@@ -22,11 +22,13 @@ def texts(spark):
 def test_chunk_encoding_equals_whole_text_encoding(spark, file):
     blob = tokenizer_blob(public_tokenizers.path(file))
     tok = load_tokenizer(blob)
-    encode = bpe_reuse.ChunkEncoder(UnitEncoder(blob), store_chars=40_000)
+    encode = bpe_reuse.ChunkEncoder(UnitEncoder(blob), bpe_reuse.part_separator(blob), store_chars=40_000)
     for _ in range(2):          # the second time with a warm store
         for t in texts(spark):
             want = tok.encode(t, add_special_tokens=False).ids
-            assert np.frombuffer(encode(t), "<u4").tolist() == want, t[:200]
+            ids, decoded = encode(t)
+            assert np.frombuffer(ids, "<u4").tolist() == want, t[:200]
+            assert decoded == tok.decode(want, skip_special_tokens=False), t[:200]
     assert encode.reused > 0
 
 
