@@ -10,8 +10,12 @@ Vectors of a cell are packed into blocks of about ``BLOCK`` (a crowded cell, suc
 many blocks), queries likewise; blocks of one cell meet in a join and a task compares two blocks at a time,
 passing on the nearest ``k`` of each query. No row is made for a pair that is only compared.
 
-The width is fitted on at most ``SAMPLE`` vectors (first by a hash of the id); every vector is indexed. Recall
-against brute force is measured in the tests and the README.
+The width is fitted on at most ``SAMPLE`` vectors (first by a hash of the id); every vector is indexed. Each query
+is put on a ladder of reaches (``STEP`` apart, the median distance in the middle) by its own distance to its k-th
+neighbour in that sample; the middle and each reach asked for by more than ``SCAN_QUERIES`` queries has tables of its
+own width. Queries of other reaches, and those whose k-th neighbour is missing or lies beyond the reach of the cells,
+are finished by comparing them with all vectors, block by block. Recall against brute force is measured in the tests
+and the README.
 
 Defined cases: vectors that are null, zero or hold null or non-finite parts, and rows without an id, take no part;
 vectors of another length are not near anything of this one; of rows that repeat an id the nearest counts; a
@@ -36,6 +40,10 @@ WIDTH = 1.2                 # cell width, in fitted distances
 SAMPLE = 2000
 BLOCK = 1024                # vectors of a block
 QUERY_BLOCK = 128
+STEP = 1.25                 # ratio of neighbouring reaches
+SCAN_QUERIES = 64           # queries of a reach from which it gets tables of its own
+SCAN_BYTES = 32 << 20       # query blocks that are broadcast to the scan
+SCAN_KEPT = 50_000          # queries a task of the scan keeps the nearest of
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
@@ -93,22 +101,57 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & ~bad & F.exists(vec, lambda v: v != 0)
 
 
-def fitted_distance(base: DataFrame, near: int) -> float:
-    """Median distance to the ``near``-th neighbour within a bounded sample."""
-    rows = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()
-    by_dim: dict[int, list] = {}
+def sampled(base: DataFrame) -> dict[int, tuple[list, np.ndarray]]:
+    """length -> (ids, vectors) of a bounded sample."""
+    rows = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "vec").collect()
+    by_dim: dict[int, tuple[list, list]] = {}
     for r in rows:
-        by_dim.setdefault(len(r["vec"]), []).append(r["vec"])
-    x = np.array(max(by_dim.values(), key=len, default=[]), dtype=np.float64)
+        ids, vecs = by_dim.setdefault(len(r["vec"]), ([], []))
+        ids.append(r["id"])
+        vecs.append(r["vec"])
+    return {dim: (ids, np.array(vecs, dtype=np.float64)) for dim, (ids, vecs) in by_dim.items()}
+
+
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * q @ x.T, 0))
+
+
+def fitted_distance(x: np.ndarray, near: int) -> float:
+    """Median distance to the ``near``-th neighbour within the sample."""
     if len(x) < 2:
         return 1.0
-    square = (x * x).sum(axis=1)
-    d = np.sqrt(np.maximum(square[:, None] + square - 2 * x @ x.T, 0))
+    d = distances(x, x)
     np.fill_diagonal(d, np.inf)
     nth = np.median(np.sort(d, axis=1)[:, min(near, len(x) - 1) - 1])
     return float(nth) if nth > 0 else float(np.median(d[np.isfinite(d)])) or 1.0
 
 
+def rungs(sent, reach: float, k: int):
+    """Adds to each query the rung of the ladder of reaches nearest to its ``k``-th distance in the sample; null
+    where the sample has fewer than ``k`` others of its length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            flat, offsets = matrix(batch.column(1))
+            own = batch.column(0).to_pylist()
+            sizes, found = np.diff(offsets), [None] * len(own)
+            for dim in np.unique(sizes):
+                ids, x = sent.value.get(int(dim), ([], None))
+                at = {}
+                for j, v in enumerate(ids):
+                    at.setdefault(v, []).append(j)
+                rows = np.flatnonzero(sizes == dim)
+                if len(ids) <= k:
+                    continue
+                d = distances(flat[offsets[rows][:, None] + np.arange(dim)], x)
+                for i, row in enumerate(rows):
+                    d[i, at.get(own[row], [])] = np.inf
+                    nth = np.partition(d[i], k - 1)[k - 1]
+                    if np.isfinite(nth):
+                        found[row] = round(math.log(nth / reach, STEP)) if nth > 0 else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int32())], ["id", "vec", "rung"])
+    return run
+
+
 def _blocks(rows: DataFrame, most: int, ids: str, vecs: str) -> DataFrame:
     """(key, ids, vecs): the rows of a key packed in blocks of about ``most``."""
     parts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts")).where("_parts > 1")
@@ -125,19 +168,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     prepare(spark)
     base = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(
         F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    reach = fitted_distance(base, k)
+    sample = sampled(base)
+    reach = fitted_distance(max((x for _, x in sample.values()), key=len, default=np.empty((0, 1))), k)
+    sent = spark.sparkContext.broadcast(sample)
     key = uuid.uuid4().hex
     kinds = dict(base.dtypes)
+    asking = stage(base.where("asks").select("id", "vec").mapInArrow(
+        rungs(sent, reach, k), ddl(base, ["id", "vec"]) + ", rung int"), "ann-queries")
+    sizes = {r["rung"]: r["count"] for r in asking.where("rung is not null").groupBy("rung").count().collect()}
+    laddered = sorted(r for r, n in sizes.items() if r == 0 or n > SCAN_QUERIES)
+
+    def hashed(visits: bool, rung: int):
+        reach_here = reach * STEP ** rung
 
-    def hashed(visits: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 64 if visits else 512):
                 flat, offsets = matrix(batch.column(1))
                 sizes = np.diff(offsets)
                 for dim in np.unique(sizes):
                     rows = np.flatnonzero(sizes == dim)
-                    hashing = per_worker(("hashing", key, int(dim)), lambda: Hashing(
-                        int(dim), WIDTH * reach, reach, tables, projections))
+                    hashing = per_worker(("hashing", key, rung, int(dim)), lambda: Hashing(
+                        int(dim), WIDTH * reach_here, reach_here, tables, projections))
                     x = flat[offsets[rows][:, None] + np.arange(dim)]
                     if visits:
                         keys = hashing.probes(x, probes).reshape(len(rows), -1)
@@ -150,9 +201,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
         return run
 
     schema = "key long, " + ddl(base, ["id", "vec"])
-    index = stage(base.select("id", "vec").mapInArrow(hashed(False), schema), "ann-index")
-    asked = stage(base.where("asks").select("id", "vec").mapInArrow(hashed(True), schema), "ann-probes")
-    blocks = _blocks(index, BLOCK, "ids", "vecs").join(_blocks(asked, QUERY_BLOCK, "query_ids", "query_vecs"), "key")
+    hits = f"query_id {kinds['id']}, id {kinds['id']}, score double"
+
+    def met(rung: int) -> DataFrame:
+        index = stage(base.select("id", "vec").mapInArrow(hashed(False, rung), schema), "ann-index")
+        asked = stage(asking.where(F.col("rung") == rung).select("id", "vec").mapInArrow(hashed(True, rung), schema), "ann-probes")
+        blocks = _blocks(index, BLOCK, "ids", "vecs").join(_blocks(asked, QUERY_BLOCK, "query_ids", "query_vecs"), "key")
+        return blocks.select("ids", "vecs", "query_ids", "query_vecs").mapInArrow(compare, hits)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -166,28 +221,111 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
             numbers, own = ids.to_numpy(zero_copy_only=False), query_ids.to_numpy(zero_copy_only=False)
             by_id = np.argsort(numbers, kind="stable")
             x, numbers = x[by_id], numbers[by_id]
+            repeats = len(np.unique(numbers)) < len(numbers)
             for i in range(len(q)):
-                d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-                d[numbers == own[i]] = np.inf
-                some = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-                # ties at the edge go to smaller ids
-                edge = d[some].max(initial=0.0)
-                some = np.flatnonzero(d <= edge)
-                some = some[np.lexsort((numbers[some], d[some]))][:k]
-                some = some[np.isfinite(d[some])]
+                some, d = closest(x, numbers, q[i], own[i], k, repeats)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own[i], len(some))), pa.array(numbers[some]), pa.array(d[some])],
-                    ["query_id", "id", "score"])
+                    [pa.array(np.repeat(own[i], len(some))), pa.array(some), pa.array(d)], ["query_id", "id", "score"])
 
-    found = blocks.select("ids", "vecs", "query_ids", "query_vecs").mapInArrow(
-        compare, f"query_id {kinds['id']}, id {kinds['id']}, score double")
     # at most tables x probes x blocks of a cell x k rows a query, then one row each
-    merged = found.groupBy("query_id", "id").agg(F.min("score").alias("score"))
-    best = merged.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "id"))), 1, k).alias("best"))
+    best = None
+    for rung in laddered:
+        more = met(rung)
+        best = more if best is None else best.unionByName(more)
+    if best is None:
+        best = spark.createDataFrame([], hits)
+    best = stage(_best(best, k), "ann-found")
+    # not settled: no tables of its reach, fewer than k found, or the last one beyond the reach of the cells
+    edge = F.lit(reach) * F.pow(F.lit(STEP), F.col("rung") + 0.5)
+    known = asking.select("id", "rung").join(best.withColumnRenamed("query_id", "id"), "id", "left")
+    settled = F.col("rung").isin(laddered) & (F.size("best") >= k) & (F.element_at("best", -1)["score"] <= edge)
+    left = known.where(~F.coalesce(settled, F.lit(False))).select("id").distinct()
+    queries = stage(asking.join(left, "id", "left_semi").select("id", "vec"), "ann-left")
+    if not queries.isEmpty():
+        scanned = _best(scan(base.select("id", "vec"), queries, k, hits), k)
+        best = best.join(left, best["query_id"] == left["id"], "left_anti").unionByName(scanned)
     return best.select("query_id", F.posexplode("best").alias("rank", "hit")).select(
         "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.id").alias("id"), F.col("hit.score").alias("score"))
 
 
+def closest(x: np.ndarray, numbers: np.ndarray, q: np.ndarray, own, k: int, repeats: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the ``k`` rows of ``x`` nearest to ``q``, nearest first; of rows that repeat an id one."""
+    d = np.sqrt(((x - q) ** 2).sum(axis=1))
+    d[numbers == own] = np.inf
+    if repeats:
+        some = np.lexsort((numbers, d))
+        some = some[np.sort(np.unique(numbers[some], return_index=True)[1])]
+    else:
+        some = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
+        # ties at the edge go to smaller ids
+        some = np.flatnonzero(d <= d[some].max(initial=0.0))
+        some = some[np.lexsort((numbers[some], d[some]))]
+    some = some[:k]
+    some = some[np.isfinite(d[some])]
+    return numbers[some], d[some]
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    merged = found.groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    return merged.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "id"))), 1, k).alias("best"))
+
+
+def _packs(most: int):
+    """Rows of one length packed into lists of at most ``most``, without a shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most):
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for dim in np.unique(sizes):
+                part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+                ends = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, c) for c in part.columns], ["ids", "vecs"])
+    return run
+
+
+def scan(base: DataFrame, queries: DataFrame, k: int, hits: str) -> DataFrame:
+    """(query_id, id, score): the nearest of each query within each task, all vectors compared, block by block."""
+    id_kind, vec_kind = (kind for _, kind in base.dtypes)
+    packed = f"ids array<{id_kind}>, vecs array<{vec_kind}>"
+    asked = stage(queries.coalesce(8).mapInArrow(_packs(QUERY_BLOCK), packed), "scan-queries").toDF("query_ids", "query_vecs")
+    size = asked.agg(F.sum(F.size("query_vecs") * F.size(F.col("query_vecs")[0]) * 8)).first()[0] or 0
+    pairs = base.mapInArrow(_packs(BLOCK), packed).crossJoin(F.broadcast(asked) if size <= SCAN_BYTES else asked)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([q for q, near in kept.items() for _ in near], id_type),
+                 pa.array([i for near in kept.values() for i in near], id_type),
+                 pa.array([d for near in kept.values() for d in near.values()], pa.float64())], ["query_id", "id", "score"])
+
+        for batch in slices(batches, 1):
+            ids, query_ids = batch.column(0).flatten(), batch.column(2).flatten()
+            id_type = ids.type
+            x, at = matrix(batch.column(1).flatten())
+            q, q_at = matrix(batch.column(3).flatten())
+            if at[1] != q_at[1]:
+                continue
+            x, q = x.reshape(-1, int(at[1])), q.reshape(-1, int(at[1]))
+            numbers, own = ids.to_numpy(zero_copy_only=False), query_ids.to_numpy(zero_copy_only=False)
+            repeats = len(np.unique(numbers)) < len(numbers)
+            for i, name in enumerate(query_ids.to_pylist()):
+                some, d = closest(x, numbers, q[i], own[i], k, repeats)
+                near = kept.setdefault(name, {})
+                for n, s in zip(some.tolist(), d.tolist()):
+                    if s < near.get(n, math.inf):
+                        near[n] = s
+                if len(near) > k:
+                    kept[name] = dict(sorted(near.items(), key=lambda e: (e[1], e[0]))[:k])
+            if len(kept) > SCAN_KEPT:
+                yield rows()
+                kept.clear()
+        if kept:
+            yield rows()
+
+    return pairs.select("ids", "vecs", "query_ids", "query_vecs").mapInArrow(compare, hits)
+
+
 @query("op3_multiprobe_lsh")
 def op3_multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors found for each vector whose id is divisible by 100."""

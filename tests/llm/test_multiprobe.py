@@ -60,3 +60,35 @@ def test_probes_come_in_order_of_chance():
     near = x + 0.8 * np.random.default_rng(3).standard_normal((20, 8)) / np.sqrt(8)
     hits = (h.keys(np.floor(h.places(near)).astype(np.int64))[:, :, None] == keys)
     assert hits[:, :, :20].sum() > hits[:, :, 20:].sum()
+
+
+def mixed():
+    """Vectors of spreads a factor of 100 apart, more copies (with a little noise) than other rows, one far away."""
+    rng = np.random.default_rng(6)
+    parts = [0.01 * rng.standard_normal((150, 12)) + 40, rng.standard_normal((200, 12)) - 40, 5 * rng.standard_normal((250, 12)),
+             1e-6 * rng.standard_normal((700, 12)) + 90, np.full((1, 12), 500.0)]
+    return np.concatenate(parts)
+
+
+def test_recall_on_mixed_scales_and_copies(spark, monkeypatch):
+    import pyspark.sql.functions as F
+    x = mixed()
+    ids = np.arange(len(x))
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    for scan_queries in (multiprobe.SCAN_QUERIES, 8):       # with and without tables for the other reaches
+        monkeypatch.setattr(multiprobe, "SCAN_QUERIES", scan_queries)
+        found = {}
+        for r in multiprobe.nearest(vectors, F.col("vec_id") % 10 == 0).collect():
+            found.setdefault(r["query_id"], {})[r["id"]] = r["score"]
+        asked = ids[ids % 10 == 0]
+        assert all(len(found[q]) == 10 for q in asked)
+        for part in (asked < 150, (asked >= 150) & (asked < 350), (asked >= 350) & (asked < 600), asked >= 600):
+            hits = [len({v for v, _ in brute(x, ids, x[q], q)} & found[q].keys()) for q in asked[part]]
+            assert np.mean(hits) >= 9
+
+
+def test_few_vectors_are_all_candidates(spark):
+    import pyspark.sql.functions as F
+    vectors = spark.createDataFrame([(i, [10.0 ** i, 1.0]) for i in range(7)], "vec_id long, embedding array<double>")
+    rows = multiprobe.nearest(vectors, F.lit(True)).collect()
+    assert sorted((r["query_id"], r["id"]) for r in rows) == [(i, j) for i in range(7) for j in range(7) if i != j]
