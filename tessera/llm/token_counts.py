@@ -98,13 +98,13 @@ def token_counts(docs: DataFrame, blob: bytes, id_col: str = "doc_id", text_col:
     pieces = frequent_pieces(docs, text_col)
     lengths = np.array(list(map(len, UnitEncoder(blob).many(pieces))), dtype=np.uint16)
     key = uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast((blob, "\x00".join(pieces).encode(), lengths))
+    sent = spark.sparkContext.broadcast((blob, pa.array(pieces, pa.string()), lengths))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make():
             raw, packed, each = sent.value
             own = UnitEncoder(raw)
-            return own, _Lengths(own, packed.decode().split("\x00") if len(each) else [], each)
+            return own, _Lengths(own, packed.to_pylist(), each)
 
         own, known = per_worker(("token_counts", key), make, keep=1)
         for batch in slices(batches):

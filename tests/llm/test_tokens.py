@@ -78,3 +78,14 @@ def test_query_digests(spark, odd):
     rows = E.queries()["op5_bpe_reuse"](spark, odd).collect()
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows) == sorted(
         map(answer, odd_documents()))
+
+
+def test_counts_with_a_nul_inside_a_frequent_piece(spark):
+    from tessera.llm.token_counts import token_counts
+
+    blob = tokenizer_blob(public_tokenizers.path("byte_bpe_50k.json"))
+    tok = load_tokenizer(blob)
+    texts = ["first nul\x00inside nul\x00inside unforgettable a internationalisation a b", "x internationalisation unforgettable \x00 b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts(docs, blob).collect()}
+    assert got == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
