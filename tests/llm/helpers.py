@@ -39,6 +39,7 @@ def write(folder, name, rows, schema):
 
 LABEL_SCHEMA = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())])
 VECTOR_SCHEMA = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int32())])
+BENCH_SCHEMA = pa.schema([("item_id", pa.int64()), ("text", pa.string())])
 PAGE_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("text", pa.string())])
 
 
@@ -47,6 +48,7 @@ def write_all(folder, docs, labels=(), vectors=(), pages=()):
     write(folder, "labels", list(labels), LABEL_SCHEMA)
     write(folder, "embeddings", list(vectors), VECTOR_SCHEMA)
     write(folder, "pages", list(pages), PAGE_SCHEMA)
+    write(folder, "benchmark", [{"item_id": i, "text": d["text"]} for i, d in enumerate(list(docs)[::7])], BENCH_SCHEMA)
     return str(folder)
 
 
