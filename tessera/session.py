@@ -81,15 +81,29 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/stage/{name}-{uuid.uuid4().hex[:12]}"
 
 
+# shuffle files of a finished job go at once, not when the driver's garbage collector finds them
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet to the shared staging folder and read it back.
 
     Cuts the lineage (iterative jobs) in one job; the written table survives
     the loss of any executor. (``checkpoint`` would compute the input twice.)
+    What the job shuffled is not needed once the table is written, and is removed.
     """
-    path = stage_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = stage_path(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def one_row(df: DataFrame) -> DataFrame:
