@@ -16,7 +16,9 @@ level the blocks ask for counts of longer runs (only below contexts that are fre
 state's runs add up its gain the same way. In the end each block scores its documents from the answers to it. A hot
 word is one key of a list, so no key gathers rows; lists are cut by key range, so no bucket gathers a table.
 
-Two runs whose 64-bit keys are equal would be counted as one: of n distinct runs about n / 2^64 of them.
+Keys of single words have 64 bits; those of longer runs ``KEY_BITS`` bits within their bucket, which bounds the lists
+that travel. Runs of equal keys are counted as one: of the about 10^6 runs of a bucket one in 10^6, whatever the size
+of the corpus.
 
 Defined cases: a null or empty text is one end; a row without an id is scored, never learned from and not held out;
 repeated rows are scored one by one; long texts are cut at a block's edge and carry their context over; without
@@ -43,6 +45,7 @@ PRIOR = 0.85
 
 BLOCK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000       # tokens of the corpus to a bucket
+KEY_BITS = 40                   # of a run's key within its bucket
 PIECE_BYTES = 1 << 20           # of a long text that are split into words at a time
 # A-Z in lower case, white space as a space
 _LOWER = bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -217,7 +220,8 @@ class Block:
         before = np.roll(self.run_key, 1)
         if context is not None:
             able &= np.roll(context, 1) >= self.model.min_count
-        self.run_key = _mixed(before, self.words[self.tokens])
+        short = np.uint64(max(64 - self.model.bits - KEY_BITS, 0))
+        self.run_key = _mixed(before, self.words[self.tokens]) >> short << short
         keys, number = np.unique(self.run_key[able], return_inverse=True)
         at = np.full(len(self.tokens), -1, np.int64)
         at[able] = number
@@ -325,10 +329,10 @@ _ASKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.i
 _ASKED_DDL = "kind int, bucket long, block long, keys binary, values binary"
 
 
-def _lists(block: int, *asked) -> Iterator[pa.RecordBatch]:
-    for lists in asked:
-        for kind, bucket, keys, values in lists:
-            yield pa.RecordBatch.from_pylist([dict(zip(_ASKED.names, (kind, bucket, block, keys, values)))], schema=_ASKED)
+def _lists(block: int, asked) -> Iterator[pa.RecordBatch]:
+    rows = [(kind, bucket, block, keys, values) for kind, bucket, keys, values in asked]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
 
 
 def score_texts(docs: DataFrame, learn: Column, held: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
