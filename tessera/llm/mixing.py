@@ -39,10 +39,7 @@ BROADCAST_SOURCES = 100_000     # more sources than this are joined by shuffle
 
 def word_count(text: Column) -> Column:
     """Runs of anything but space and the control characters 9-13; 0 for null."""
-    space = r"[\x20\x09-\x0D]"
-    t = F.coalesce(text, F.lit(""))
-    inner = F.regexp_replace(t, f"^{space}+|{space}+$", "")
-    return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, f"{space}+"))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]++")).cast("long")
 
 
 def source_ranks(totals: DataFrame) -> DataFrame:
