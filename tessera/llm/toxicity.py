@@ -50,7 +50,6 @@ THRESHOLD = 0.3
 _LONG, _STRIDE = 32, 16
 _SPACED = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){2,}(?![^\s.,;:!?])")
 _SENTENCE = re.compile(r"[.!?]+(?=\s|\Z)|\n+")
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _INSIDE = re.compile(r"[\W\d_]+")
 # offsets of the characters of a subsequence, and its span
 _SHAPES = [(0, *rest) for rest in itertools.combinations(range(1, SPAN), LENGTH - 1)]
@@ -61,9 +60,19 @@ def tokens(text: str | None) -> list[str]:
     return _SPACED.sub(lambda m: re.sub(r"[ ._*-]", "-", m[0]), text or "").split()
 
 
+def bare_edges(token: str) -> str:
+    """``token`` without the marks at its ends."""
+    start, end = 0, len(token)
+    while start < end and not token[start].isalnum():
+        start += 1
+    while end > start and not token[end - 1].isalnum():
+        end -= 1
+    return token[start:end]
+
+
 def token_units(token: str) -> list[str]:
     """The units of one token; with and without marks and digits inside it."""
-    unit = _EDGES.sub("", token.lower())
+    unit = bare_edges(token.lower())
     if len(unit) > _LONG:
         return [unit[i:i + _LONG] for i in range(0, len(unit) - _STRIDE, _STRIDE)]
     bare = _INSIDE.sub("", unit)
