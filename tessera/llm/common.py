@@ -54,9 +54,15 @@ _WORKER: dict[Any, Any] = {}
 
 
 def per_worker(key: Any, make: Callable[[], Any], keep: int = 4) -> Any:
-    """An object made once per Python worker; the ``keep`` newest keys of one kind (``key[0]``) stay."""
+    """An object made once per Python worker; the ``keep`` newest keys of one kind (``key[0]``) stay.
+
+    Workers are used again by later stages: the first object of a kind drops those of all others, so a worker holds
+    the models and caches of one operator at a time.
+    """
     if key not in _WORKER:
-        old = [k for k in _WORKER if k[0] == key[0]]
+        for k in [k for k in _WORKER if k[0] != key[0]]:
+            del _WORKER[k]
+        old = list(_WORKER)
         for k in old[:max(0, len(old) - keep + 1)]:
             del _WORKER[k]
         _WORKER[key] = make()
@@ -69,8 +75,16 @@ def ddl(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")         # letters, and signs such as ² that count neither as letters nor as digits
+
+
+def letter_runs(text: str) -> list[str]:
+    """Maximal runs of letters (``str.isalpha``, the Unicode categories L)."""
+    found = _LETTERS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def has_letter(text: str) -> bool:
-    return _HAS_LETTER.search(text) is not None
+    return any(any(map(str.isalpha, m[0])) for m in _LETTERS.finditer(text))

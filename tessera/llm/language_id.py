@@ -7,7 +7,7 @@ log probability where any language has the n-gram, back-off weight where one has
 a text is that of the lowest cross-entropy per character over the whole text; ``rejected`` marks texts whose
 cross-entropy is above what ``KEEP_SHARE`` of that language's calibration texts reach.
 
-Learned from at most about ``DOCS_PER_LANG`` documents a language (chosen by a hash of the id, whole texts):
+Learned from at most about ``DOCS_PER_LANG`` documents a language and ``TRAIN_DOCS`` of all (chosen by a hash of the id, whole texts):
 folds 0 and 1 give the counts, fold 3 the rejection limits; held-out fold 2 is never read.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows without a language are not
@@ -15,7 +15,6 @@ learned from; without any learned language all are ``und``; ties go to the first
 """
 from __future__ import annotations
 
-import re
 import uuid
 from typing import Iterator
 
@@ -24,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ddl, fold, has_letter, held_out, learnable, per_worker, prepare, read, slices
+from tessera.llm.common import ddl, fold, has_letter, held_out, learnable, letter_runs, per_worker, prepare, read, slices
 from tessera.llm.registry import query
 from tessera.llm.token_scores import TokenScores, code_points
 
 ORDER = 5
 DOCS_PER_LANG = 600
+TRAIN_DOCS = 60_000         # of all languages together
 KEEP_SHARE = 0.999
 SCORE_CHARS = 50            # characters at most that sharpen the score
 _BEGIN, _END = "\x02", "\x03"
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def ngram_hashes(chars: np.ndarray, order: int) -> list[np.ndarray]:
@@ -152,7 +151,7 @@ class LanguageModels:
 
     def token_costs(self, tokens: list[str]) -> np.ndarray:
         """``word_costs`` added up over the letter runs of each token."""
-        runs = [_LETTERS.findall(t.lower()) for t in tokens]
+        runs = [letter_runs(t.lower()) for t in tokens]
         words = [w for r in runs for w in r]
         out = np.zeros((len(tokens), len(self.langs) + 1), np.float32)
         if words:
@@ -187,6 +186,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Models and rejection limits from a sample of at most about ``per_lang`` documents a language."""
     usable = docs.where(learnable(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = usable.groupBy(lang_col).count()
+    per_lang = min(per_lang, max(1, TRAIN_DOCS // max(1, sizes.count())))
     share = F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(1 << 30)) / float(1 << 30)
     sample = (usable.select(F.col(lang_col).alias("lang"), (fold(id_col) == 3).alias("calibrates"),
                             F.col(text_col).alias("text"), share.alias("share"))
