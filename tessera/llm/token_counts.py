@@ -49,10 +49,9 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in slices(batches):
         for text in batch.column(0).to_pylist():
-            counts.update(split_units(text or "")[1:])
+            counts.update(p for p in split_units(text or "")[1:] if len(p) <= PIECE_CHARS)
             if len(counts) > SUMMARY_PIECES:
                 counts = Counter(dict(counts.most_common(SUMMARY_PIECES // 2)))
-    counts = Counter({p: n for p, n in counts.items() if len(p) <= PIECE_CHARS})
     yield _packed(counts, TaskContext.get().partitionId(), TABLE_PIECES)
 
 
