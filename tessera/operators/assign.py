@@ -10,19 +10,18 @@ from __future__ import annotations
 
 from typing import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions import vectors as V
 from tessera.session import materialize, one_row
 
 # bound on prototypes (k x dim doubles) held in one broadcast row
 MAX_PROTOTYPE_VALUES = 8_000_000
+# prototypes that are taken to the driver instead of being written and measured
+SMALL_ROWS = 256
 
 
 def mean_vectors(df: DataFrame, keys: Sequence[str], vec: str = "x", out: str = "c") -> DataFrame:
@@ -72,13 +71,17 @@ def score_prototypes(df: DataFrame, packed: DataFrame, vec: str = "x") -> DataFr
         .withColumn("pred", F.element_at("qs", V.argmax("cos") + 1)).drop("P")
 
 
+def _packed_blocks(protos: DataFrame, blocks: int) -> DataFrame:
+    return protos.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(blocks))).groupBy("_b").agg(F.array_sort(
+        F.collect_list(F.struct(F.col("q"), F.col("c"), V.norm("c").alias("cn")))).alias("P")).drop("_b")
+
+
 def score_in_blocks(df: DataFrame, protos: DataFrame, blocks: int, vec: str = "x") -> DataFrame:
     """``score_prototypes`` for any number of prototypes: they are dealt to ``blocks`` rows, each vector meets
     one block at a time, and the parts of a vector are put together again by its row number."""
-    packed = protos.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(blocks))).groupBy("_b").agg(F.array_sort(
-        F.collect_list(F.struct(F.col("q"), F.col("c"), V.norm("c").alias("cn")))).alias("P"))
+    packed = _packed_blocks(protos, blocks)
     rows = df.withColumn("_row", F.monotonically_increasing_id())
-    part = rows.crossJoin(packed.drop("_b")).withColumn("_cos", _cosines(vec)).select(
+    part = rows.crossJoin(packed).withColumn("_cos", _cosines(vec)).select(
         *rows.columns, F.arrays_zip(F.transform("P", lambda p: p["q"]).alias("q"), F.col("_cos").alias("cos")).alias("_part"))
     whole = part.groupBy("_row").agg(*[F.first(c).alias(c) for c in df.columns],
                                      F.array_sort(F.flatten(F.collect_list("_part"))).alias("_all")).drop("_row")
@@ -86,17 +89,56 @@ def score_in_blocks(df: DataFrame, protos: DataFrame, blocks: int, vec: str = "x
             .withColumn("pred", F.element_at("qs", V.argmax("cos") + 1)).drop("_all"))
 
 
-def assign_to_prototypes(df: DataFrame, protos: DataFrame, vec: str = "x") -> DataFrame:
+def nearest_in_blocks(df: DataFrame, protos: DataFrame, blocks: int, vec: str = "x") -> DataFrame:
+    """``df`` with ``pred`` alone: each vector keeps one (cosine, q) a block, so that is all that is shuffled."""
+    packed = _packed_blocks(protos, blocks)
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    best = F.array_max(F.zip_with(_cosines(vec), F.col("P"), lambda cos, p: F.struct(cos.alias("cos"), (-p["q"]).alias("nq"))))
+    part = rows.crossJoin(packed).select(*rows.columns, best.alias("_best"))
+    whole = part.groupBy("_row").agg(*[F.first(c).alias(c) for c in df.columns], F.max("_best").alias("_best")).drop("_row")
+    return whole.withColumn("pred", (-F.col("_best")["nq"]).cast(dict(protos.dtypes)["q"])).drop("_best")
+
+
+def small_rows(rows: DataFrame, most: int = SMALL_ROWS) -> list | None:
+    """The rows if there are at most ``most`` of them; one job, bounded by the limit."""
+    found = rows.limit(most + 1).collect()
+    return found if len(found) <= most else None
+
+
+def assign_to_prototypes(df: DataFrame, protos: DataFrame, vec: str = "x", pred_only: bool = False) -> DataFrame:
     """Score every vector against all prototypes (those without a class are no prototypes).
 
-    The prototypes are written once and measured: up to ``MAX_PROTOTYPE_VALUES`` values they are one broadcast
-    row, beyond that they are scored in blocks of that size.
+    Up to ``SMALL_ROWS`` prototypes come to the driver and are one broadcast row. More are written once and measured:
+    up to ``MAX_PROTOTYPE_VALUES`` values they are one broadcast row too, beyond that they are scored in blocks of that
+    size. ``pred_only`` leaves out ``cos`` and ``qs``.
     """
-    protos = materialize(protos.where(F.col("q").isNotNull()).select("q", "c"), "prototypes")
+    protos = protos.where(F.col("q").isNotNull()).select("q", "c")
+    few = small_rows(protos)
+    if few is not None and sum(len(r["c"] or ()) for r in few) <= MAX_PROTOTYPE_VALUES:
+        scored = score_prototypes(df, pack_prototypes(df.sparkSession.createDataFrame(few, protos.schema)), vec)
+        return scored.drop("cos", "qs") if pred_only else scored
+    protos = materialize(protos, "prototypes")
     values = protos.agg(F.sum(F.size("c"))).first()[0] or 0
     if values <= MAX_PROTOTYPE_VALUES:
-        return score_prototypes(df, pack_prototypes(protos), vec)
-    return score_in_blocks(df, protos, -(-values // MAX_PROTOTYPE_VALUES), vec)
+        scored = score_prototypes(df, pack_prototypes(protos), vec)
+        return scored.drop("cos", "qs") if pred_only else scored
+    in_blocks = nearest_in_blocks if pred_only else score_in_blocks
+    return in_blocks(df, protos, -(-values // MAX_PROTOTYPE_VALUES), vec)
+
+
+def affine_scores(df: DataFrame, protos: DataFrame, vec: str = "x") -> DataFrame:
+    """``df`` with ``dots``, the array of (q, x.c) over the prototypes that have a class: map-only, a vector meets the
+    prototypes of one broadcast row, or of one block after the other when they are many (then one row a block)."""
+    protos = protos.where(F.col("q").isNotNull()).select("q", "c")
+    few = small_rows(protos)
+    if few is not None:
+        packed = pack_prototypes(df.sparkSession.createDataFrame(few, protos.schema))
+    else:
+        protos = materialize(protos, "prototypes")
+        values = protos.agg(F.sum(F.size("c"))).first()[0] or 0
+        packed = _packed_blocks(protos, max(1, -(-values // MAX_PROTOTYPE_VALUES)))
+    return df.crossJoin(F.broadcast(packed) if few is not None else packed).withColumn(
+        "dots", F.transform("P", lambda p: F.struct(p["q"].alias("q"), V.dot(vec, p["c"]).alias("dot")))).drop("P")
 
 
 # ---- k-means (Lloyd), optionally per group --------------------------------------------
@@ -150,47 +192,28 @@ def lloyd_step(df: DataFrame, centroids: DataFrame, keys: Sequence[str] = (), ve
 
 
 def kmeans_lloyd(df: DataFrame, k: int, steps: int | None = None, id_col: str = "id", vec: str = "x",
-                 most_steps: int = 1000) -> DataFrame:
-    """Deterministic Lloyd k-means over the whole table from the k lowest ids: ``steps`` steps, or until no
-    centroid moves (an error if ``most_steps`` steps don't get there).
+                 most_steps: int | None = None) -> DataFrame:
+    """(q, c): deterministic Lloyd k-means over the whole table from the k lowest ids: ``steps`` steps, or until no row
+    changes its cluster (an error if ``most_steps`` steps don't get there; see ``kmeans.lloyd`` for a fit without)."""
+    from tessera.operators import kmeans
 
-    The k x dim centroids of a step come to the driver (k is the caller's), so there is one job a step and no lineage.
-    """
-    spark = df.sparkSession
-    kinds = dict(df.dtypes)
-    schema = f"q int, c {kinds[vec]}"
-
-    def fetched(cents: DataFrame) -> dict[int, list[float]]:
-        return {r["q"]: list(r["c"]) for r in cents.select("q", "c").collect()}
-
-    now = fetched(kmeans_init_lowest_ids(df, k, (), id_col, vec))
-    for _ in range(most_steps if steps is None else steps):
-        before = now
-        now = fetched(lloyd_step(df, spark.createDataFrame(sorted(now.items()), schema), (), vec))
-        if steps is None and all(abs(x - y) <= 1e-12 for q in now for x, y in zip(now[q], before[q])):
-            break
-    else:
-        if steps is None:
-            raise RuntimeError(f"k-means still moves after {most_steps} steps")
-    return spark.createDataFrame(sorted(now.items()), schema)
+    start = [r["c"] for r in kmeans_init_lowest_ids(df, k, (), id_col, vec).orderBy("q").collect()]
+    fit = kmeans.lloyd(df, start, most_steps if steps is None else steps, vec)
+    if steps is None and not fit.converged:
+        raise RuntimeError(f"k-means still moves after {most_steps} steps")
+    return df.sparkSession.createDataFrame(
+        [(q, c.tolist()) for q, c in enumerate(fit.centroids)], f"q int, c {dict(df.dtypes)[vec]}")
 
 
 def kmeans_in_groups(df: DataFrame, k: int, key: str, id_col: str = "id", vec: str = "x", most_steps: int = 1000) -> DataFrame:
-    """``df`` with ``pred``: Lloyd k-means inside each group (a batch), from its k lowest ids until no centroid moves.
-
-    One shuffle: a group is packed once and iterated in place.
-    """
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col).reset_index(drop=True)
-        x = np.array(pdf[vec].tolist(), dtype=np.float64)
-        cents = x[:k].copy()
-        for _ in range(most_steps):
-            d = ((x[:, None, :] - cents[None]) ** 2).sum(axis=2)
-            near = d.argmin(axis=1)
-            new = np.array([x[near == q].mean(axis=0) if (near == q).any() else cents[q] for q in range(len(cents))])
-            if np.abs(new - cents).max() <= 1e-12:
-                return pdf.assign(pred=near.astype("int32"))
-            cents = new
-        raise RuntimeError(f"k-means of a group still moves after {most_steps} steps")
-
-    return df.groupBy(key).applyInPandas(fit, T.StructType([*df.schema.fields, T.StructField("pred", T.IntegerType())]))
+    """``df`` with ``pred``: Lloyd k-means inside each group (a batch), from its k lowest ids until no row changes its
+    cluster. One shuffle packs a group into one row; all groups of an Arrow batch are iterated together."""
+    from tessera.operators import kmeans
+
+    rest = [c for c in df.columns if c != key]
+    items = F.struct(F.col(id_col).alias("_order"), *[F.col(f"`{c}`") for c in rest])
+    packed = df.groupBy(key).agg(F.array_sort(F.collect_list(items)).alias("_items"))
+    found = kmeans.in_groups(packed.select(key, "_items", F.transform("_items", lambda r: r[vec]).alias("_x")), k, "_x", "_pred", most_steps)
+    rows = found.select(key, F.explode(F.arrays_zip("_items", "_pred")).alias("_r"))
+    return rows.select(*[F.col(key) if c == key else F.col(f"_r._items.`{c}`").alias(c) for c in df.columns],
+                       F.col("_r._pred").alias("pred"))

@@ -5,8 +5,9 @@ k x k cells per group (a contingency table or a cost table), so every group
 is bounded by k^2 rows whatever the size of the data behind it.
 
 - Optimal matching (max overlap or min cost): each group is packed into one row of
-  flat arrays and solved by shortest augmenting paths in numpy, O(k^3), inside
-  ``mapInArrow``; one solver for every group size, totals and pairs together.
+  flat arrays and solved inside ``mapInArrow``, totals and pairs together: by shortest augmenting paths in numpy,
+  O(k^3), or for large tables of counts by an auction over the cells that are there. ``large_matching`` has rounds of
+  DataFrame jobs for groups whose cells no task should hold.
 - Greedy matching: cells sorted by (-value, row order, col order), folded with
   used-row / used-col sets; equal to repeated delete-the-max.
 """
@@ -23,6 +24,10 @@ from pyspark.sql import types as T
 from tessera.session import ship_package
 
 
+# groups of more rows and columns than this, of integer overlaps, are solved over their cells alone
+DENSE_K = 128
+
+
 def pack_cells(cells: DataFrame, keys: Sequence[str], row: str, col: str, value: str,
                pad: str | None = None) -> DataFrame:
     """One row per group holding its (<= k^2) cells.
@@ -93,6 +98,48 @@ def _solve_dense(cost: np.ndarray) -> np.ndarray:
     return col_of_row
 
 
+def _solve_sparse(i: np.ndarray, j: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Max-total assignment of a k x k table given by its cells, integers of 0 or more; what is missing is 0.
+
+    Sequential auction with epsilon scaling over the cells alone: memory grows with the cells, not with k squared. The
+    table is doubled (a copy of each row and column stands for staying alone), so that a perfect matching exists.
+    Returns ``col_of_row``; rows that stay alone get the columns left over.
+    """
+    i, j, v = i[v > 0], j[v > 0], v[v > 0].astype(np.int64) * (2 * k + 1)
+    both = np.arange(k)
+    # persons: rows 0..k-1 and copies of columns k..2k-1; objects: columns 0..k-1 and copies of rows k..2k-1
+    person = np.concatenate([i, j + k, both, both + k])
+    target = np.concatenate([j, i + k, both + k, both])
+    worth = np.concatenate([v, np.zeros(len(j) + 2 * k, np.int64)])
+    order = np.argsort(person, kind="stable")
+    target, worth = target[order], worth[order]
+    start = np.concatenate([[0], np.cumsum(np.bincount(person, minlength=2 * k))])
+    price, epsilon = np.zeros(2 * k, np.int64), max(1, int(worth.max(initial=0)) // 6)
+    while True:
+        owner, free = np.full(2 * k, -1), list(range(2 * k - 1, -1, -1))
+        while free:
+            p = free.pop()
+            options = target[start[p]:start[p + 1]]
+            net = worth[start[p]:start[p + 1]] - price[options]
+            at = int(net.argmax())
+            best, net[at] = int(net[at]), -(1 << 62)
+            o = options[at]
+            # a person with one option alone keeps its object
+            price[o] += epsilon + (best - int(net.max()) if len(net) > 1 else 0)
+            if owner[o] >= 0:
+                free.append(owner[o])
+            owner[o] = p
+        if epsilon == 1:
+            break
+        epsilon = max(1, epsilon // 6)
+    col_of_row = np.full(k, -1)
+    for c in range(k):
+        if owner[c] < k:
+            col_of_row[owner[c]] = c
+    col_of_row[col_of_row < 0] = np.setdiff1d(both, col_of_row)
+    return col_of_row
+
+
 def _dense(k: int, n_rows: int, n_cols: int, cells: dict[str, np.ndarray], pad: np.ndarray) -> np.ndarray:
     """Square matrix of a packed group; absent columns hold their row's padding value."""
     w = np.zeros((k, k))
@@ -104,6 +151,7 @@ def _dense(k: int, n_rows: int, n_cols: int, cells: dict[str, np.ndarray], pad:
 def with_matching(packed: DataFrame, mode: str = "max", out: str = "total") -> DataFrame:
     """Adds the optimal matching total and its (i, j) index pairs ``_mi``, ``_mj`` to packed rows; no shuffle."""
     ship_package(packed.sparkSession)
+    dense_k = DENSE_K
     schema = T.StructType([*packed.schema.fields, T.StructField(out, T.DoubleType()),
                            T.StructField("_mi", T.ArrayType(T.IntegerType())), T.StructField("_mj", T.ArrayType(T.IntegerType()))])
     names = packed.columns
@@ -117,9 +165,14 @@ def with_matching(packed: DataFrame, mode: str = "max", out: str = "total") -> D
                 flat = {n: fields.field(n).to_numpy(zero_copy_only=False) for n in ("_i", "_j", "_v")}
                 pad = pads[g].values.to_numpy(zero_copy_only=False)
                 k = batch.column(names.index("_k"))[g].as_py()
-                w = _dense(k, len(pad), int(flat["_j"].max()) + 1, flat, pad)
-                match = _solve_dense(-w if mode == "max" else w)
-                totals.append(float(w[np.arange(k), match].sum()))
+                v = flat["_v"]
+                if mode == "max" and k > dense_k and not pad.any() and (v >= 0).all() and (v == np.floor(v)).all():
+                    match = _solve_sparse(flat["_i"].astype(np.int64), flat["_j"].astype(np.int64), v, k)
+                    totals.append(float(v[match[flat["_i"]] == flat["_j"]].sum()))
+                else:
+                    w = _dense(k, len(pad), int(flat["_j"].max()) + 1, flat, pad)
+                    match = _solve_dense(-w if mode == "max" else w)
+                    totals.append(float(w[np.arange(k), match].sum()))
                 rows.append(list(range(k)))
                 cols.append(match.tolist())
             yield pa.RecordBatch.from_arrays(

@@ -14,7 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.operators.large_matching import greedy_sum
 from tessera.operators.matching import greedy_cell, greedy_fold, pack_cells, with_matching
+from tessera.session import materialize
+
+# overlaps of a table that one row may hold for the greedy fold
+FOLD_CELLS = 10_000
 
 
 def contingency(df: DataFrame, keys: Sequence[str] = (), pred: str = "pred",
@@ -143,19 +148,30 @@ def named_overlaps(matrices: DataFrame) -> DataFrame:
 
 
 def greedy_scores(items: DataFrame, keys: Sequence[str] = (), item: str = "item", pred: str = "pred",
-                  label: str = "label", sides: Sequence[str] = ("recall", "precision")) -> DataFrame:
+                  label: str = "label", sides: Sequence[str] = ("recall", "precision"), fold_cells: int = FOLD_CELLS) -> DataFrame:
     """Greedy R = greedy(recall) / #predicted groups; greedy P = greedy(precision) / #true groups.
 
-    Everything is read off the one table of overlaps; only the asked ``sides`` are folded.
+    Everything is read off the one table of overlaps, written once; only the asked ``sides`` are matched. Without
+    ``keys`` a table of more than ``fold_cells`` overlaps is matched in rounds of jobs, smaller ones and the (small) tables of
+    groups are folded in one row each; both give the sequential greedy.
     """
     keys = list(keys)
     m = overlap_matrices(items, keys, item, pred, label)
     both = F.col("pred").isNotNull() & F.col("label").isNotNull()
-    packed = m.groupBy(*keys).agg(
-        F.countDistinct("pred").alias("n_pred_groups"), F.countDistinct("label").alias("n_true_groups"),
-        *[F.array_sort(F.collect_list(F.when(both, greedy_cell("pred_order", "label_order", s)))).alias(f"_{s}") for s in sides])
-    out = packed.select(*keys, "n_pred_groups", "n_true_groups",
-                        *[greedy_fold(f"_{s}").alias(f"greedy_{s}_sum") for s in sides])
+    groups = [F.countDistinct("pred").alias("n_pred_groups"), F.countDistinct("label").alias("n_true_groups")]
+    fold = True
+    if not keys:
+        m = materialize(m, "overlaps")
+        fold = m.count() <= fold_cells
+    if fold:
+        packed = m.groupBy(*keys).agg(
+            *groups, *[F.array_sort(F.collect_list(F.when(both, greedy_cell("pred_order", "label_order", s)))).alias(f"_{s}") for s in sides])
+        out = packed.select(*keys, "n_pred_groups", "n_true_groups",
+                            *[greedy_fold(f"_{s}").alias(f"greedy_{s}_sum") for s in sides])
+    else:
+        out = m.agg(*groups)
+        for s in sides:
+            out = out.crossJoin(F.broadcast(greedy_sum(m.where(both), [], "pred_order", "label_order", s, f"greedy_{s}_sum")))
     if "recall" in sides:
         out = out.withColumn("greedy_r", F.col("greedy_recall_sum") / F.col("n_pred_groups"))
     if "precision" in sides:

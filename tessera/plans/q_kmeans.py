@@ -1,13 +1,15 @@
 """K-means queries (global and per batch), the k-means benchmark, and model-based fits."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tessera.operators import assign, metrics, prep
+from tessera.operators import assign, kmeans, metrics, prep, training
 from tessera.plans import sqlparts as S
+from tessera.plans.q_vectors import _SM, SCORES
 from tessera.plans.registry import query
 from tessera.sources import tables
 
@@ -63,6 +65,17 @@ def kmeans_lloyd(spark, sf_dir):
     return a.groupBy(F.col("pred").alias("q")).agg(F.count(F.lit(1)).alias("size"), F.sum("min_dist").alias("inertia"))
 
 
+@query("kmeans_parallel")
+def kmeans_parallel(spark, sf_dir, seed: int = 1):
+    """K1/K3: k-means from a k-means|| start, to convergence: cluster sizes and inertia, steps of the fit."""
+    v = kmeans.written(tables.vectors(spark, sf_dir), ["id", "x"])
+    fit = kmeans.lloyd(v, kmeans.parallel_start(v, K, seed, rows=v), rows=v)
+    cents = spark.createDataFrame([(q, c.tolist()) for q, c in enumerate(fit.centroids)], "q int, c array<double>")
+    a = assign.lloyd_assign(v, cents).groupBy(F.col("pred").alias("q")).agg(
+        F.count(F.lit(1)).alias("size"), F.sum("min_dist").alias("inertia"))
+    return a.withColumn("steps", F.lit(fit.steps)).withColumn("converged", F.lit(fit.converged))
+
+
 @query("kmeans_per_batch", S.with_ctes([S.VECS, _HB] + _lloyd_sql("vb", "batch_id", K, BATCH_STEPS),
        "SELECT batch_id, q, count(*) AS size FROM fin GROUP BY batch_id, q"))
 def kmeans_per_batch(spark, sf_dir):
@@ -101,3 +114,60 @@ def prototype_logreg(spark, sf_dir):
     model = lr.fit(v)
     out = model.transform(v).select(F.col("pred_d").cast("int").alias("pred"), "label")
     return metrics.clustering_report(out)
+
+
+# fixed values: rate and epochs of the training run
+RATE, EPOCHS = 0.01, 40
+
+# e = softmax(p) - onehot, p = softmax(cos); g = p (e - p.e); the gradient's two parts, then one Adam step
+_GRAD = SCORES + [
+    _SM, "en AS (SELECT id, q, label, p, exp(p) / sum(exp(p)) OVER (PARTITION BY id) - CASE WHEN q = label THEN 1 ELSE 0 END AS e FROM sm)",
+    "gi AS (SELECT id, q, p * (e - sum(p * e) OVER (PARTITION BY id)) AS g FROM en)",
+    f"cn AS (SELECT q, c, {S.norm('c')} AS n FROM protos)",
+    f"xu AS (SELECT id, x, {S.norm('x')} AS n FROM vecs)",
+    "gs AS (SELECT gi.q, sum(gi.g * sc.cs) AS gs, count(*) AS rows FROM gi JOIN sc ON sc.id = gi.id AND sc.q = gi.q GROUP BY gi.q)",
+    "gx AS (SELECT q, pos, sum(g * v) AS gx FROM (SELECT gi.q, gi.g, unnest(xu.x) / xu.n AS v, unnest(range(len(xu.x))) AS pos "
+    "FROM gi JOIN xu ON xu.id = gi.id) GROUP BY q, pos)",
+    "un AS (SELECT q, n, unnest(c) / n AS u, unnest(range(len(c))) AS pos FROM cn)",
+    "us AS (SELECT pos, sum(u) AS total FROM un GROUP BY pos)",
+    "cs AS (SELECT un.q, sum(un.u * us.total) - 1 AS cos_others FROM un JOIN us ON us.pos = un.pos GROUP BY un.q)",
+    "kk AS (SELECT count(*) * (count(*) - 1) / 2 AS pairs FROM protos)",
+    "gr AS (SELECT un.q, un.pos, (gx.gx - gs.gs * un.u) / (gs.rows * un.n) + (us.total - un.u - cs.cos_others * un.u) / un.n / kk.pairs AS g, "
+    "un.u * un.n AS c FROM un JOIN gx ON gx.q = un.q AND gx.pos = un.pos JOIN gs ON gs.q = un.q JOIN us ON us.pos = un.pos "
+    "JOIN cs ON cs.q = un.q CROSS JOIN kk)"]
+
+
+def _class_means(v):
+    """Class-mean prototypes on the driver: as many as there are classes."""
+    return [(r["q"], r["c"]) for r in assign.class_mean_prototypes(v).where(F.col("q").isNotNull()).orderBy("q").collect()]
+
+
+@query("prototype_gradient", S.with_ctes(_GRAD, "SELECT q, CAST(pos AS INTEGER) AS pos, round(g, 6) AS gradient FROM gr"))
+def prototype_gradient(spark, sf_dir):
+    """K4: gradient of cross-entropy plus separation at the class means, summed in one pass (long form)."""
+    v = tables.vectors(spark, sf_dir)
+    means = _class_means(v)
+    rows = kmeans.written(v, ["x", "label"])
+    g = training.gradient(rows, [q for q, _ in means], np.array([c for _, c in means]))[0]
+    long = spark.createDataFrame([(q, row.tolist()) for (q, _), row in zip(means, g)], "q int, g array<double>")
+    return long.select("q", F.posexplode("g").alias("pos", "gradient"))
+
+
+@query("prototype_step", S.with_ctes(_GRAD, f"SELECT q, CAST(pos AS INTEGER) AS pos, round(c - {RATE} * g / (sqrt(g * g) + {training.ADAM_EPS}), 6) "
+       "AS c FROM gr"))
+def prototype_step(spark, sf_dir):
+    """K4: the prototypes after one training step (Adam) from the class means (long form)."""
+    v = tables.vectors(spark, sf_dir)
+    means = _class_means(v)
+    g = training.gradient(kmeans.written(v, ["x", "label"]), [q for q, _ in means], np.array([c for _, c in means]))[0]
+    after = training.Adam(RATE).step(np.array([c for _, c in means]), g)
+    moved = spark.createDataFrame([(q, row.tolist()) for (q, _), row in zip(means, after)], "q int, c array<double>")
+    return moved.select("q", F.posexplode("c").alias("pos", "c"))
+
+
+@query("prototype_train")
+def prototype_train(spark, sf_dir):
+    """K4: full-batch training of the prototypes from the class means: loss, its two parts and accuracy of each epoch."""
+    v = tables.vectors(spark, sf_dir)
+    _, log = training.train(v, _class_means(v), EPOCHS, RATE)
+    return spark.createDataFrame([tuple(e) for e in log], "epoch int, loss double, cross_entropy double, separation double, accuracy double")

@@ -182,6 +182,13 @@ def match_greedy(spark, sf_dir):
     return _greedy_df(spark, sf_dir)
 
 
+@query("match_greedy_rounds", _GREEDY)
+def match_greedy_rounds(spark, sf_dir):
+    """M5/A6/A7 for any number of groups: the greedy in rounds of locally first cells, no row holds the overlaps."""
+    items = scored_vectors(spark, sf_dir).select(F.col("id").alias("item"), "pred", "label")
+    return metrics.greedy_scores(items, fold_cells=0)
+
+
 @query("greedy_r", f"SELECT greedy_r FROM ({_GREEDY})")
 def greedy_r(spark, sf_dir):
     """greedy(recall matrix) / number of predicted groups."""

@@ -83,13 +83,8 @@ def context_difference(spark, sf_dir):
 def vec_linear_tanh(spark, sf_dir):
     """affine map (weights = class-mean prototype matrix, bias 0) followed by tanh."""
     v = tables.vectors(spark, sf_dir)
-    # x.c = cosine x |x| x |c|: any number of prototypes, the scores being those of the assignment
-    protos = assign.class_mean_prototypes(v)
-    scored = assign.assign_to_prototypes(v, protos)
-    long = scored.select("id", V.norm("x").alias("_xn"), F.explode(F.arrays_zip("qs", "cos")).alias("t")).select(
-        "id", "_xn", F.col("t.qs").alias("q"), F.col("t.cos").alias("_cos"))
-    norms = protos.select("q", V.norm("c").alias("_cn"))
-    return long.join(norms, "q").select("id", "q", F.tanh(F.col("_cos") * F.col("_xn") * F.col("_cn")).alias("value"))
+    long = assign.affine_scores(v, assign.class_mean_prototypes(v)).select("id", F.explode("dots").alias("t"))
+    return long.select("id", F.col("t.q").alias("q"), F.tanh("t.dot").alias("value"))
 
 
 @query("vec_layer_norm", f"WITH {S.VECS}, ln AS (SELECT id, {_ln_sql('x')} AS y FROM vecs) "
