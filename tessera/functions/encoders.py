@@ -1,4 +1,11 @@
-"""Text -> sparse vector encoders by name, in long form (doc_id, term, weight): one row per term of a document."""
+"""Text -> vector encoders by name.
+
+Sparse ones give the long form (doc_id, term, weight), one row per term of a document. Dense ones give (doc_id, x), an
+``array<double>`` of fixed length that feeds prototypes and k-means: a sparse sign projection, in which every term adds
+plus or minus its weight to ``SLOTS`` places found from its hash, so there is no vocabulary and nothing to fit. The
+expected inner product of two projected vectors is that of the sparse ones, its standard error at most about
+``sqrt(2 / dim)`` times the product of their lengths.
+"""
 from __future__ import annotations
 
 from typing import Callable
@@ -35,6 +42,28 @@ def tfidf(docs: DataFrame) -> DataFrame:
     return unit_length(counts.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("weight")))
 
 
+SLOTS = 4
+DIM = 64
+
+
+def projected(weights: DataFrame, dim: int = DIM, slots: int = SLOTS) -> DataFrame:
+    """(doc_id, x) from (doc_id, term, weight): place and sign of slot m from md5('<term>:<m>').
+
+    Both groupings are by document, as is the join that made the weights, so the rows move once.
+    """
+    def slot(m):
+        h = F.md5(F.concat(F.col("term"), F.lit(":"), m.cast("string")))
+        place = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+        return F.struct(place.alias("place"), F.when(F.substring(h, 9, 1) >= "8", 1.0).otherwise(-1.0).alias("sign"))
+
+    put = weights.select("doc_id", "weight", F.explode(F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), slot)).alias("s"))
+    sums = put.groupBy("doc_id", F.col("s.place").alias("place")).agg(
+        (F.sum(F.col("s.sign") * F.col("weight")) / F.sqrt(F.lit(float(slots)))).alias("v"))
+    packed = sums.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"))
+    x = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return packed.select("doc_id", x.alias("x"))
+
+
 ENCODERS: dict[str, Callable[[DataFrame], DataFrame]] = {"tf": tf, "tfidf": tfidf}
 
 
@@ -43,3 +72,21 @@ def encode(docs: DataFrame, encoder: str) -> DataFrame:
     if encoder not in ENCODERS:
         raise KeyError(f"no encoder {encoder!r}; there are {sorted(ENCODERS)}")
     return ENCODERS[encoder](docs)
+
+
+DENSE_ENCODERS: dict[str, Callable[[DataFrame, int], DataFrame]] = {
+    "tf_projected": lambda docs, dim: projected(tf(docs), dim),
+    "tfidf_projected": lambda docs, dim: projected(tfidf(docs), dim),
+}
+
+
+def register_dense(name: str, encoder: Callable[[DataFrame, int], DataFrame]) -> None:
+    """Add an encoder: (docs with doc_id and text, length) -> (doc_id, x array<double>)."""
+    DENSE_ENCODERS[name] = encoder
+
+
+def embed(docs: DataFrame, encoder: str, dim: int = DIM) -> DataFrame:
+    """(doc_id, x) of the documents that have a weighted term; an unknown name is an error."""
+    if encoder not in DENSE_ENCODERS:
+        raise KeyError(f"no dense encoder {encoder!r}; there are {sorted(DENSE_ENCODERS)}")
+    return DENSE_ENCODERS[encoder](docs, dim)

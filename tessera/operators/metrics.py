@@ -177,3 +177,37 @@ def greedy_scores(items: DataFrame, keys: Sequence[str] = (), item: str = "item"
     if "precision" in sides:
         out = out.withColumn("greedy_p", F.col("greedy_precision_sum") / F.col("n_true_groups"))
     return out
+
+
+# ---- mergeable state -----------------------------------------------------------------
+
+def metric_state(scored: DataFrame, part: str | None = None, losses: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """([part,] pred, label, n_ij, loss_sum): all that the pooled metrics need, a row for each pair of classes of a part.
+
+    ``losses`` (id, loss) adds the sum of the rows' losses. States add up: see ``merge_states``.
+    """
+    loss = F.lit(0.0)
+    if losses is not None:
+        scored, loss = scored.join(losses.select(id_col, F.col("loss").alias("_loss")), id_col), F.col("_loss")
+    keys = [part] if part else []
+    return scored.where(F.col("pred").isNotNull() & F.col("label").isNotNull()).groupBy(*keys, "pred", "label").agg(
+        F.count(F.lit(1)).alias("n_ij"), F.sum(loss).alias("loss_sum"))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The state of all rows from those of disjoint parts, in any order or grouping."""
+    both = states[0].select("pred", "label", "n_ij", "loss_sum")
+    for more in states[1:]:
+        both = both.unionByName(more.select("pred", "label", "n_ij", "loss_sum"))
+    return both.groupBy("pred", "label").agg(F.sum("n_ij").alias("n_ij"), F.sum("loss_sum").alias("loss_sum"))
+
+
+def save_state(state: DataFrame, path: str, part: str) -> None:
+    """Keep the state of some parts beside those written before; a part that is written again takes its place."""
+    state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
+def report_from_state(state: DataFrame, matching: bool = True) -> DataFrame:
+    """The pooled report and the mean loss from a merged state; no scan of the rows behind it."""
+    report = report_from_packed(pack_cells(state, (), "pred", "label", "n_ij"), (), matching)
+    return report.crossJoin(F.broadcast(state.agg((F.sum("loss_sum") / F.sum("n_ij")).alias("loss"))))

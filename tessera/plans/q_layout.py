@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import layout as L
+from tessera.functions import vectors as V
 from tessera.operators import prep
 from tessera.plans.registry import query
 from tessera.sources import tables
@@ -66,36 +67,43 @@ def bbox_rect(spark, sf_dir):
 
 
 # fixed values: rows of the x and y position tables
-X_ROWS, Y_ROWS, POSITION_DIM = 3000, 5000, 4
+X_ROWS, Y_ROWS = 3000, 5000
 
-_PAIRED = ("bp AS (SELECT a.l_orderkey, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ct a JOIN ct b "
-           "ON b.l_orderkey = a.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2)")
-_POS = (f"px AS (SELECT vec_id AS k, CAST(embedding[1:{POSITION_DIM}] AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < {X_ROWS}), "
-        f"py AS (SELECT vec_id AS k, CAST(embedding[1:{POSITION_DIM}] AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < {Y_ROWS})")
+_PAIRED = ("bp AS (SELECT a.l_orderkey, a.l_linenumber, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ct a JOIN ct b "
+           "ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)")
+_POS = (f"px AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < {X_ROWS}), "
+        f"py AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < {Y_ROWS})")
 
 
-@query("position_lookup", f"WITH {BOX}, {SCALED}, {CENTER}, {_PAIRED}, {_POS}, lk AS (SELECT l_orderkey, a.v AS vx1, b.v AS vx2, "
+def _mean_sql(a: str, b: str) -> str:
+    return f"list_transform(range(1, len({a}) + 1), lambda i: coalesce(({a}[i] + {b}[i]) / 2, 0.0))"
+
+
+@query("position_lookup", f"WITH {BOX}, {SCALED}, {CENTER}, {_PAIRED}, {_POS}, lk AS (SELECT l_orderkey, l_linenumber, a.v AS vx1, b.v AS vx2, "
        "c.v AS vy1, d.v AS vy2 FROM bp LEFT JOIN px a ON a.k = x1 LEFT JOIN px b ON b.k = x2 LEFT JOIN py c ON c.k = y1 "
-       "LEFT JOIN py d ON d.k = y2) SELECT l_orderkey, CAST((vx1 IS NULL)::INT + (vx2 IS NULL)::INT + (vy1 IS NULL)::INT + (vy2 IS NULL)::INT "
-       "AS INTEGER) AS outside, CAST(pos AS INTEGER) AS pos, round((vx1[pos + 1] + vx2[pos + 1]) / 2, 6) AS x_all, "
-       f"round((vy1[pos + 1] + vy2[pos + 1]) / 2, 6) AS y_all FROM lk, (SELECT unnest(range({POSITION_DIM})) AS pos)")
+       "LEFT JOIN py d ON d.k = y2), mn AS (SELECT *, CASE WHEN vx1 IS NOT NULL AND vx2 IS NOT NULL THEN "
+       f"{_mean_sql('vx1', 'vx2')} END AS xa, CASE WHEN vy1 IS NOT NULL AND vy2 IS NOT NULL THEN {_mean_sql('vy1', 'vy2')} END AS ya FROM lk) "
+       "SELECT l_orderkey, l_linenumber, CAST((vx1 IS NULL)::INT + (vx2 IS NULL)::INT + (vy1 IS NULL)::INT + (vy2 IS NULL)::INT "
+       "AS INTEGER) AS outside, round(list_sum(xa), 6) AS x_sum, round(list_sum(list_transform(xa, lambda t: t * t)), 6) AS x_square, "
+       "round(list_sum(ya), 6) AS y_sum, round(list_sum(list_transform(ya, lambda t: t * t)), 6) AS y_square FROM mn")
 def position_lookup(spark, sf_dir):
-    """Rows of the x and y position tables looked up for both boxes of an order, and their mean; ids without a
-    row give null and are counted in ``outside``."""
+    """Rows of the x and y position tables looked up for every box and the next one of its order, and their mean
+    vectors (their sums and squared lengths, in which every dimension takes part); ids without a row give null and are
+    counted in ``outside``."""
     c = _centers(spark, sf_dir)
-    one = c.where("l_linenumber = 1").select("l_orderkey", F.col("x").alias("x1"), F.col("y").alias("y1"))
-    two = c.where("l_linenumber = 2").select("l_orderkey", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    rows = tables.vectors(spark, sf_dir).select(F.col("id").alias("k"), F.slice("x", 1, POSITION_DIM).alias("v"))
-    looked = one.join(two, "l_orderkey")
+    one = c.select("l_orderkey", "l_linenumber", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    two = c.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    rows = tables.vectors(spark, sf_dir).select(F.col("id").alias("k"), F.col("x").alias("v"))
+    looked = one.join(two, ["l_orderkey", "l_linenumber"])
     for name, most in (("x1", X_ROWS), ("x2", X_ROWS), ("y1", Y_ROWS), ("y2", Y_ROWS)):
-        # bounded by the grid: at most X_ROWS or Y_ROWS rows of POSITION_DIM values
+        # bounded by the grid: at most X_ROWS or Y_ROWS vectors
         grid = rows.where(F.col("k") < most).select(F.col("k").alias(name), F.col("v").alias(f"v{name}"))
         looked = looked.join(F.broadcast(grid), name, "left")
     outside = sum(F.col(f"v{n}").isNull().cast("int") for n in ("x1", "x2", "y1", "y2"))
-    slot = F.explode(F.sequence(F.lit(0), F.lit(POSITION_DIM - 1)))
-    d = looked.select("l_orderkey", outside.alias("outside"), slot.alias("pos"), "vx1", "vx2", "vy1", "vy2")
-    mean = lambda a, b: (F.col(a)[F.col("pos")] + F.col(b)[F.col("pos")]) / 2
-    return d.select("l_orderkey", "outside", "pos", mean("vx1", "vx2").alias("x_all"), mean("vy1", "vy2").alias("y_all"))
+    means = {n: V.vscale(V.vadd(f"v{n}1", f"v{n}2"), 0.5) for n in "xy"}
+    figures = [V.bind(m, lambda a: F.struct(V.vsum(a).alias("sum"), V.dot(a, a).alias("square"))).alias(n) for n, m in means.items()]
+    d = looked.select("l_orderkey", "l_linenumber", outside.alias("outside"), *figures)
+    return d.select("l_orderkey", "l_linenumber", "outside", *[F.col(f"{n}.{f}").alias(f"{n}_{f}") for n in "xy" for f in ("sum", "square")])
 
 
 @query("position_counts", f"WITH {BOX}, {SCALED}, {CENTER}, "
