@@ -209,7 +209,7 @@ class Block:
         """Training count of the run that ends at each position, and whether this block owns the run; 0 where unknown."""
         given, at, count = self.answers.get(2 * level, []), self.at[level], np.zeros(len(self.tokens), np.int64)
         totals = np.concatenate([np.zeros(0, np.int64), *(unpack(t, np.int64) for t, _ in given)])
-        owners = np.concatenate([np.zeros(0, np.uint8), *(unpack(o, np.uint8) for _, o in given)])
+        owners = np.concatenate([np.zeros(0, np.uint8), *(unpack(o, np.uint8) for _, o in given if o)])
         count[at >= 0] = totals[at[at >= 0]]
         return count, owners
 
@@ -265,7 +265,7 @@ class Block:
                 ratio = n * (np.log((n - 1 + prior[one] * p) / p) - np.log(prior[one]))
                 return self.asked(2 * level + 1, self.keys[level - 1][states],
                                   np.bincount(state[one], weights=ratio, minlength=len(states)))
-            gains = np.concatenate([np.zeros(0), *(unpack(t, np.float64) for t, _ in self.answers.get(2 * level + 1, []))])
+            gains = np.concatenate([np.zeros(0), *(unpack(t, np.float32) for t, _ in self.answers.get(2 * level + 1, []))])
             gain = gains[state] + c * (np.log(prior) - np.log(c - 1 + prior))
             kept = gain >= model.gain
             use, c, prior = use[kept], c[kept], prior[kept]
@@ -294,7 +294,8 @@ def tally(asked: DataFrame, name: str) -> DataFrame:
         alone = [0] * (len(lists) - 1)
         return pa.table({
             "kind": group["kind"], "bucket": group["bucket"], "block": group["block"],
-            "totals": pa.array([pack(totals[p]) for p, _ in pieces], pa.binary()),
+            # gains are only compared with a bound
+            "totals": pa.array([pack(totals[p].astype(np.float32) if kind % 2 else totals[p]) for p, _ in pieces], pa.binary()),
             "owners": pa.array([pack(o) for _, o in pieces], pa.binary()),
             "n_keys": pa.array([int((totals > 0).sum()), *alone], pa.int64()),
             "n_sum": pa.array([int(totals.sum()) if not kind % 2 else 0, *alone], pa.int64())})
@@ -303,14 +304,16 @@ def tally(asked: DataFrame, name: str) -> DataFrame:
         merge, "kind int, bucket long, block long, totals binary, owners binary, n_keys long, n_sum long"), name)
 
 
-def over_blocks(blocks: DataFrame, answers: list[DataFrame], model: Model, fn: Callable, schema: str) -> DataFrame:
-    """``fn(Block, row)`` -> rows, for each block with all answers to it."""
+def over_blocks(blocks: DataFrame, answers: list[DataFrame], model: Model, fn: Callable, schema: str,
+                owned: int | None = None) -> DataFrame:
+    """``fn(Block, row)`` -> rows, for each block with all answers to it; owners travel for the kind ``owned`` only."""
     given = blocks
     if answers:
         told = answers[0]
         for more in answers[1:]:
             told = told.unionByName(more)
-        told = told.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "totals", "owners")).alias("told"))
+        owners = F.when(F.col("kind") == owned, F.col("owners")) if owned is not None else F.lit(None).cast("binary")
+        told = told.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "totals", owners.alias("owners"))).alias("told"))
         given = blocks.join(told, "block")
     names = given.columns
 
@@ -367,7 +370,7 @@ def score_texts(docs: DataFrame, learn: Column, held: Column, id_col: str = "doc
         return ask
 
     for level in range(1, depth + 1):
-        answers.append(tally(over_blocks(blocks, answers, model, next_level(level), _ASKED_DDL), f"pst-level-{level}"))
+        answers.append(tally(over_blocks(blocks, answers, model, next_level(level), _ASKED_DDL, 2 * level), f"pst-level-{level}"))
 
     def scored(block: Block, row: dict) -> Iterator[pa.RecordBatch]:
         block.walk(depth, False)

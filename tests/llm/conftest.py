@@ -22,7 +22,8 @@ def odd(tmp_path_factory):
         (None, None), ("http://a.example/x", None), ("odd url", "no markup at all"), ("http://a.example/y", ""),
         ("http://a.example/z", "<p>one<p>two & three &amp; &lt;four&gt;<br>five"), (None, "<div" * 2000), ("http://a.example/d", "<div>" * 3000 + "deep"),
         ("http://a.example/c", "<!-- never closed <p>x</p>"), ("http://a.example/q", "<p title=it's>quote</p><b>b<i>c</b>d")])]
-    return helpers.write_all(tmp_path_factory.mktemp("odd"), helpers.odd_documents(), labels, vectors, pages + pages[4:6])
+    return helpers.write_all(tmp_path_factory.mktemp("odd"), helpers.odd_documents(), labels, vectors, pages + pages[4:6],
+                             helpers.odd_turns())
 
 
 @pytest.fixture(scope="session")

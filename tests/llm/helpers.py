@@ -43,7 +43,19 @@ BENCH_SCHEMA = pa.schema([("item_id", pa.int64()), ("text", pa.string())])
 PAGE_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("text", pa.string())])
 
 
-def write_all(folder, docs, labels=(), vectors=(), pages=()):
+CONV_SCHEMA = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()),
+                         ("at", pa.string()), ("first", pa.int64()), ("action", pa.string())])
+
+
+def odd_turns():
+    """Nulls in any column, ties, repeated rows, odd texts."""
+    rows = [(None, 0, "user", None), (None, None, None, "z"), (1, None, "user", "z"), (1, 0, "assistant", ""), (1, 0, "assistant", ""),
+            (2, -5, "system", "s"), (2, 7, "tool", "t" * 20000), (3, 1, "", " ")] + [(4, i % 3, TRICKY[i], TRICKY[i]) for i in range(len(TRICKY))]
+    return [dict(zip(CONV_SCHEMA.names, (*r, "x", 5, "y"))) for r in rows]
+
+
+def write_all(folder, docs, labels=(), vectors=(), pages=(), turns=()):
+    write(folder, "conversations", list(turns), CONV_SCHEMA)
     write(folder, "documents", list(docs), DOC_SCHEMA)
     write(folder, "labels", list(labels), LABEL_SCHEMA)
     write(folder, "embeddings", list(vectors), VECTOR_SCHEMA)

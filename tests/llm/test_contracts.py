@@ -2,7 +2,7 @@
 import pytest
 
 import __spark_entry__ as E
-from helpers import odd_documents
+from helpers import odd_documents, odd_turns
 
 DOC_QUERIES = {
     "op2_toxicity_svm": {"doc_id", "held_out", "score", "predicted"},
@@ -12,12 +12,21 @@ DOC_QUERIES = {
     "op7_language_id": {"doc_id", "held_out", "lang_pred", "score"},
     "op8_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
     "op9_mix_sources": {"doc_id", "size", "source_size", "target", "taken"},
+    "op11_importance_resample": {"doc_id", "n_features", "weight", "score", "rank"},
+    "op12_suffix_tree": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }
-OTHER = {"op3_multiprobe_lsh": {"query_id", "rank", "vec_id", "score"}, "op10_wrapper_html": {"page_id", "url", "text", "n_chars"}}
+OTHER = {"op1_role_repair": {"conv_id", "turn", "role", "repaired_role", "action", "total_cost", "rendered"},
+         "op13_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"}, "op3_multiprobe_lsh": {"query_id", "rank", "vec_id", "score"}, "op10_wrapper_html": {"page_id", "url", "text", "n_chars"}}
 
 
-def test_all_eleven_are_registered():
-    assert {*DOC_QUERIES, *OTHER, "op1_role_repair", "pipeline"} <= set(E.queries())
+def test_all_are_registered():
+    assert {*DOC_QUERIES, *OTHER, "pipeline"} <= set(E.queries()) and len(DOC_QUERIES) + len(OTHER) == 13
+
+
+def test_turns_with_odd_rows(spark, odd):
+    rows = E.queries()["op1_role_repair"](spark, odd).collect()
+    assert OTHER["op1_role_repair"] == set(rows[0].asDict()) and None not in {r["rendered"] for r in rows}
+    assert sorted(str((r["conv_id"], r["turn"], r["role"])) for r in rows) == sorted(str((t["conv_id"], t["turn"], t["role"])) for t in odd_turns())
 
 
 @pytest.mark.parametrize("name", sorted(DOC_QUERIES))

@@ -70,3 +70,45 @@ def test_empty_and_registered(spark, tmp_path):
 def test_min_plus_chain_is_associative():
     a, b, c = (R.turn_costs(r) for r in ("user", "assistant", None))
     assert np.array_equal(R.chain(R.chain(a, b), c), R.chain(a, R.chain(b, c)))
+
+
+def test_hot_conversation_is_split_and_stays_legal(spark):
+    rng = np.random.default_rng(9)
+    kinds = ["system", "user", "assistant", "tool", None]
+    rows = [(None, int(t) if t % 3 else None, kinds[int(k)], f"t{t}") for t, k in enumerate(rng.integers(0, 5, 100_000))]
+    rows += [(7, 1, "user", "the same turn")] * 20_000 + [(8, 0, "user", "x"), (8, 1, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("first", R.F.lit("clash")).repartition(9)
+    out = R.repair_roles(df, position="place").collect()
+    assert len(out) == len(rows)
+    for conv in (None, 7, 8):
+        mine = sorted((r for r in out if r["conv_id"] == conv), key=lambda r: r["place"])
+        assert legal("".join(r["rendered"] for r in mine))
+        turns = [r["turn"] for r in mine]
+        known = [t for t in turns if t is not None]
+        assert known == sorted(known) and turns[:len(known)] == known
+        cost, state = 0.0, 0
+        for r in mine:      # the total is that of the choices made
+            q = R.STATES.index(r["repaired_role"])
+            cost += R.STEPS[state, q][0] + (0 if r["role"] == r["repaired_role"] else R.RELABEL)
+            state = q
+        assert {r["total_cost"] for r in mine} == {cost + R.INSERT * len(R.CLOSING[state])}
+
+
+def test_whole_conversations(spark):
+    df = spark.createDataFrame([(1, 2, "user", "c"), (1, 1, "user", "b"), (1, 0, "system", "a"), (None, 0, "assistant", None)],
+                               "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r["rendered"] for r in R.conversation_texts(df).collect()}
+    assert got == {1: "<|system|>\na\n<|user|>\nb\nc\n<|assistant|>\n", None: got[None]}
+    assert legal(got[None])
+
+
+def test_plain_trace_equals_the_arrays():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        codes = rng.integers(0, 4, rng.integers(1, 9)).tolist()
+        costs = [R._ROLE_COSTS[c] for c in codes]
+        total = costs[0][0]
+        for c in costs[1:]:
+            total = (total[:, None] + c).min(axis=0)
+        leave = int((total + R.closing_cost()).argmin())
+        assert R.traced(codes, 0, leave) == R.trace(costs, 0, leave)
