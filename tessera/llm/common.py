@@ -43,6 +43,25 @@ def learnable(id_col: str = "doc_id") -> Column:
     return F.coalesce(fold(id_col) != 2, F.lit(False))
 
 
+HOT_ROWS = 200_000          # rows of one key from which its rows are dealt to several tasks
+SALTS = 32
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """Inner join of ``many`` (written already) with ``few``, one row a key, in which a hot key is not one task's work.
+
+    Keys with more than ``hot_rows`` rows in ``many``, at most rows / ``hot_rows`` of them, are broadcast as a list; their
+    rows carry a salt and their row of ``few`` is there once for each salt.
+    """
+    hot = F.broadcast(many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(
+        key, F.lit(True).alias("_hot")))
+    own = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))).otherwise(0).cast("int")
+    all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = many.join(hot, key, "left").withColumn("_salt", own).drop("_hot")
+    copied = few.join(hot, key, "left").withColumn("_salt", F.explode(all_salts)).drop("_hot")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that only a few texts are Python objects at once."""
     for batch in batches:

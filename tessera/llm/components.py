@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import salted_join, stage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             "node", F.col("root").alias("_old"), F.least("root", "_near").alias("root"))
         hooked = stage(hooked, "labels")
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-        labels = stage(hooked.join(jump, "root").select("node", "_old", F.col("_next").alias("root")), "labels")
+        # all members of a component point at one root
+        labels = stage(salted_join(hooked, jump, "root").select("node", "_old", F.col("_next").alias("root")), "labels")
         changed = labels.where("root <> _old").limit(1).count()
         labels = labels.select("node", "root")
         if not changed:

@@ -139,7 +139,15 @@ def mix(items: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     small = targets.count() <= BROADCAST_SOURCES
     to_join = targets.withColumnRenamed("source", "_source")
     rows = items.join(F.broadcast(to_join) if small else to_join, F.col("source").eqNullSafe(F.col("_source")))
+    # many rows of one item and size (without an id, say) would fall into one bucket: they get a number each
+    crowded = stage(items.groupBy("item", "size").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET_DOCS)
+                    .select(F.col("item").alias("_item"), F.col("size").alias("_size")), "crowded-items")
     order = F.xxhash64(F.lit(seed), "item", "size")
+    n_crowded = crowded.count()
+    if n_crowded:
+        rows = rows.withColumn("_row", F.monotonically_increasing_id()).join(
+            F.broadcast(crowded) if n_crowded <= BROADCAST_SOURCES else crowded, F.col("item").eqNullSafe(F.col("_item")) & (F.col("size") == F.col("_size")), "left")
+        order = F.when(F.col("_size").isNull(), order).otherwise(F.xxhash64(F.lit(seed), "item", "size", "_row"))
     rows = (rows.withColumn("_ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
             .withColumn("copies", F.floor("_ratio").cast("long"))
             .withColumn("mass", (F.col("_ratio") - F.col("copies")) * F.col("size"))

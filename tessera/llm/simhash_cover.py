@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ddl, per_worker, prepare, read, slices, stage
+from tessera.llm.common import HOT_ROWS, ddl, per_worker, prepare, read, salted_join, slices, stage
 from tessera.llm.components import connected_components
 from tessera.llm.registry import query
 
@@ -160,11 +160,12 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, most_bits: int = MO
     points = stage(rows.groupBy("fp").agg(F.min(first).alias("first")), "points")
     blocks = BLOCKS if points.count() <= MANY_POINTS else MORE_BLOCKS
     roots = connected_components(links(points, blocks, most_bits))
-    placed = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp"))
+    placed = stage(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp")), "placed")
     named = placed.groupBy("root").agg(F.min("first").alias("stays"))
-    groups = placed.select("fp", "root").join(named, "root").drop("root")
-    return rows.join(groups, "fp").select("doc_id", "text_hash", "fp", F.col("stays.doc_id").alias("component_id"), "stays")
+    # a fingerprint may be that of a third of all rows, a component hold a third of all fingerprints
+    groups = salted_join(placed.select("fp", "root"), named, "root", HOT_ROWS).drop("root")
+    return salted_join(rows, groups, "fp", HOT_ROWS).select("doc_id", "text_hash", "fp", F.col("stays.doc_id").alias("component_id"), "stays")
 
 
 def near_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, most_bits: int = MOST_BITS, id_col: str = "doc_id",

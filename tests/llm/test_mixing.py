@@ -76,3 +76,25 @@ def test_documents_come_as_often_as_taken(spark, odd):
     assert out.columns == docs.columns
     taken = mixing.mix(docs.selectExpr("coalesce(doc_id, -1) as item", "source", "1L as size"))
     assert taken.count() == docs.count()
+
+
+def test_a_million_like_rows_are_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 64)
+    seen = []
+    plain = mixing._round_bucket
+
+    def watched(seed, level):
+        seen.append(level)
+        return plain(seed, level)
+
+    monkeypatch.setattr(mixing, "_round_bucket", watched)
+    items = spark.createDataFrame([(None, "s", 10)] * 3000 + [(i, "t", 5) for i in range(300)], "item long, source string, size long")
+    rows = mixing.mix(items).groupBy("source").agg(mixing.F.sum(mixing.F.col("copies") * mixing.F.col("size")).alias("taken"),
+                                                  mixing.F.max("target").alias("target"), mixing.F.count("*").alias("n")).collect()
+    assert {r["source"]: r["n"] for r in rows} == {"s": 3000, "t": 300}
+    assert all(abs(r["taken"] - r["target"]) <= 10 for r in rows)
+
+
+def test_word_count_of_a_long_run(spark):
+    df = spark.createDataFrame([(" " * 1_000_000 + "a",), ("a\x0bb\x0cc d",), (None,), ("",), ("  x",)], "t string")
+    assert [r[0] for r in df.select(mixing.word_count(mixing.F.col("t"))).collect()] == [1, 4, 0, 0, 2]

@@ -97,3 +97,22 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[x] == 100 for x in range(100, 160))
+
+
+def test_hot_fingerprints_and_components_are_dealt_out(spark, monkeypatch):
+    from tessera.llm import common
+    rows = [(i, "one text that a third of all rows hold") for i in range(200)] + [(1000 + i, f"text number {i} is another {i * 17}") for i in range(400)]
+    docs = spark.createDataFrame(rows + [(None, "one text that a third of all rows hold")], "doc_id long, text string")
+    want = sorted(map(str, near_rows(docs)))
+    monkeypatch.setattr(S, "HOT_ROWS", 20)
+    assert sorted(map(str, near_rows(docs))) == want
+    many = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 0), (3, 0)], "k int, v int")
+    few = spark.createDataFrame([(1, "a"), (2, "b"), (4, "d")], "k int, w string")
+    joined = common.salted_join(many, few, "k", hot_rows=10, salts=4)
+    assert sorted(map(tuple, joined.collect())) == sorted([(1, i, "a") for i in range(100)] + [(2, 0, "b")])
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_salt") >= 3
+
+
+def near_rows(docs):
+    return [(r["doc_id"], r["fp"], r["component_id"]) for r in S.near_groups(docs).collect()]
