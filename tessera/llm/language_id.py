@@ -42,7 +42,7 @@ def ngram_hashes(chars: np.ndarray, order: int) -> list[np.ndarray]:
     c = chars.astype(np.uint64) + np.uint64(1)
     for k in range(order):
         shifted = np.zeros_like(c)
-        shifted[k:] = c[:len(c) - k] if k else c
+        shifted[k:] = c[:max(0, len(c) - k)]
         h = (h ^ (shifted * np.uint64(0xC2B2AE3D27D4EB4F))) * mix
         h ^= h >> np.uint64(29)
         out.append(h.copy())
