@@ -103,7 +103,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``materialize`` returned, once what was read from it is written itself.
+
+    Anything else (a table derived from one, an input) is left alone.
+    """
+    path = getattr(df, "_staged_path", None)
+    if path:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        del df._staged_path
 
 
 def one_row(df: DataFrame) -> DataFrame:

@@ -56,3 +56,16 @@ def test_matched_l1_terms(spark):
     rows = matched_l1(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 44 and all(sum(r[c] for r in rows) > 0 for c in ("class_l1", "para_l1", "cos_l1"))
     assert filter_pred_article(spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_staged_tables_are_removed_when_told(spark):
+    from tessera.session import discard, materialize
+    first = materialize(spark.range(10), "x")
+    path = first._staged_path
+    second = materialize(first.selectExpr("id * 2 AS id"), "x")
+    discard(first.where("id > 3"))      # derived tables own nothing
+    assert files.exists(spark, path)
+    discard(first)
+    discard(first)
+    assert not files.exists(spark, path) and second.count() == 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
