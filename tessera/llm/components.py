@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import salted_join, stage
+from tessera.session import discard
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,11 +24,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 .groupBy("a").agg(F.min("root").alias("_near")))
         hooked = labels.join(seen.withColumnRenamed("a", "node"), "node").select(
             "node", F.col("root").alias("_old"), F.least("root", "_near").alias("root"))
-        hooked = stage(hooked, "labels")
+        before, hooked = labels, stage(hooked, "labels")
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("_next"))
         # all members of a component point at one root
         labels = stage(salted_join(hooked, jump, "root").select("node", "_old", F.col("_next").alias("root")), "labels")
         changed = labels.where("root <> _old").limit(1).count()
-        labels = labels.select("node", "root")
+        # rounds before this one are not read again
+        discard(before)
+        discard(hooked)
         if not changed:
-            return labels
+            discard(both)
+            return labels.select("node", "root")

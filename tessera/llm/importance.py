@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import prepare, read, slices, stage
 from tessera.llm.registry import query
+from tessera.session import discard
 
 # fixed values of the resampling
 BUCKETS = 10_000
@@ -136,7 +137,7 @@ def _literal(key) -> Column:
 
 def kth_key(live: DataFrame, k: int, seed: int, pivots: int = PIVOTS):
     """The ``k``-th smallest ``key`` of ``live`` (a struct that no two rows share), 1 <= k <= rows."""
-    kind, level = dict(live.dtypes)["key"], 0
+    kind, level, before = dict(live.dtypes)["key"], 0, None
     while True:
         drawn = sorted((r["key"] for r in live.orderBy(F.xxhash64(F.lit(seed + level), "key")).limit(pivots).collect()),
                        key=lambda key: [(v is None, v) for v in key])
@@ -157,7 +158,10 @@ def kth_key(live: DataFrame, k: int, seed: int, pivots: int = PIVOTS):
             live = live.where(F.col("key") > _literal(drawn[slot - 1]).cast(kind))
         if slot < len(drawn):
             live = live.where(F.col("key") < _literal(drawn[slot]).cast(kind))
-        live, level = stage(live, "select-live"), level + 1
+        staged, level = stage(live, "select-live"), level + 1
+        if before is not None:
+            discard(before)
+        live = before = staged
 
 
 def ranked(winners: DataFrame, out: str) -> DataFrame:
