@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe_reuse, common, exact_dedup, mixing, simhash_cover, toxicity
 from tessera.llm.units import tokenizer_blob
+from tessera.session import discard
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -67,5 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.stage(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+        before, docs = docs, common.stage(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+        discard(before)     # the input table is not staged and stays
     return docs
