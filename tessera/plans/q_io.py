@@ -86,11 +86,11 @@ def scan_partitioned(spark, sf_dir):
         .select("doc_id", "lang", "goal")
 
 
-@query("catalog_load", f"WITH {DOCS}, {_SPLIT} SELECT d.doc_id, d.class_index FROM docs d JOIN sp USING (doc_id) "
+@query("catalog_load", f"WITH {DOCS}, {_SPLIT} SELECT d.doc_id, d.class_index, d.title, d.description FROM docs d JOIN sp USING (doc_id) "
        "WHERE sp.goal = 'test'")
 def catalog_load(spark, sf_dir):
     """S3/U4: (dataset, goal) -> path catalog; loads the test split of the corpus."""
-    corpus = tables.text_corpus(spark, sf_dir).select("doc_id", "class_index")
+    corpus = tables.text_corpus(spark, sf_dir).select("doc_id", "class_index", "title", "description")
     split = prep.split_positional(corpus.select("doc_id"), "doc_id").select("doc_id", "split")
     both = corpus.join(split, "doc_id")
     cat = files.Catalog(spark)
