@@ -44,8 +44,8 @@ GAIN = 8.0
 PRIOR = 0.85
 
 BLOCK_TOKENS = 1_000_000
-BUCKET_TOKENS = 1_000_000       # tokens of the corpus to a bucket
-KEY_BITS = 40                   # of a run's key within its bucket
+BUCKET_TOKENS = 2_000_000       # tokens of the corpus to a bucket
+KEY_BITS = 41                   # of a run's key within its bucket
 PIECE_BYTES = 1 << 20           # of a long text that are split into words at a time
 # A-Z in lower case, white space as a space
 _LOWER = bytes(32 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -255,12 +255,17 @@ class Block:
             seen = np.where(self.at[level] >= 0, np.roll(context, 1), 0)
             use = np.flatnonzero(seen >= model.min_count)
             before = self.at[level - 1][use - 1]
-            states, state = np.unique(before, return_inverse=True)
+            # runs are numbered already, so no sort is needed to list the states
+            there = np.zeros(len(self.keys[level - 1]), bool)
+            there[before] = True
+            states, state = np.flatnonzero(there), (np.cumsum(there) - 1)[before]
             c, prior = seen[use].astype(float), seen[use] ** model.prior
             if ask_gain and level == depth:
                 # one position of each run that this block owns
-                runs, one = np.unique(self.at[level][use], return_index=True)
-                one = one[(owners[runs] == 1) & (count[use][one] >= 2)]
+                first = np.full(len(self.keys[level]), -1)
+                first[self.at[level][use][::-1]] = np.arange(len(use))[::-1]
+                runs = np.flatnonzero(first >= 0)
+                one = first[runs[(owners[runs] == 1) & (count[use][first[runs]] >= 2)]]
                 n, p = count[use][one].astype(float), np.exp(score[use][one])
                 ratio = n * (np.log((n - 1 + prior[one] * p) / p) - np.log(prior[one]))
                 return self.asked(2 * level + 1, self.keys[level - 1][states],
