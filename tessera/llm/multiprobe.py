@@ -221,9 +221,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
             numbers, own = ids.to_numpy(zero_copy_only=False), query_ids.to_numpy(zero_copy_only=False)
             by_id = np.argsort(numbers, kind="stable")
             x, numbers = x[by_id], numbers[by_id]
-            repeats = len(np.unique(numbers)) < len(numbers)
+            rough = rough_squares(q, x, numbers)
             for i in range(len(q)):
-                some, d = closest(x, numbers, q[i], own[i], k, repeats)
+                some, d = closest(x, numbers, q[i], own[i], k, rough and (rough[0][i], rough[1]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(own[i], len(some))), pa.array(some), pa.array(d)], ["query_id", "id", "score"])
 
@@ -248,18 +248,34 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
         "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.id").alias("id"), F.col("hit.score").alias("score"))
 
 
-def closest(x: np.ndarray, numbers: np.ndarray, q: np.ndarray, own, k: int, repeats: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the ``k`` rows of ``x`` nearest to ``q``, nearest first; of rows that repeat an id one."""
+def rough_squares(q: np.ndarray, x: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """Squared distances by one matrix product, and a bound on twice their rounding error; none where ids repeat or
+    the numbers are too large for it."""
+    if len(np.unique(numbers)) < len(numbers):
+        return None
+    q2, x2 = (q * q).sum(axis=1), (x * x).sum(axis=1)
+    rough = q2[:, None] + x2 - 2 * q @ x.T
+    most = float(q2.max(initial=0.0) + x2.max(initial=0.0))
+    return (rough, 1e-15 * (8 + x.shape[1]) * 4 * most) if np.isfinite(rough).all() else None
+
+
+def closest(x: np.ndarray, numbers: np.ndarray, q: np.ndarray, own, k: int, rough: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the ``k`` rows of ``x`` nearest to ``q``, nearest first; of rows that repeat an id one.
+
+    With rough squared distances only the rows that may be among the nearest are measured exactly.
+    """
+    if rough is not None and len(x) > k + 1:
+        square = np.where(numbers == own, np.inf, rough[0])
+        edge = np.partition(square, k - 1)[k - 1]
+        some = np.flatnonzero(square <= edge + rough[1])
+        x, numbers, repeats = x[some], numbers[some], False
+    else:
+        repeats = rough is None
     d = np.sqrt(((x - q) ** 2).sum(axis=1))
     d[numbers == own] = np.inf
+    some = np.lexsort((numbers, d))
     if repeats:
-        some = np.lexsort((numbers, d))
         some = some[np.sort(np.unique(numbers[some], return_index=True)[1])]
-    else:
-        some = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-        # ties at the edge go to smaller ids
-        some = np.flatnonzero(d <= d[some].max(initial=0.0))
-        some = some[np.lexsort((numbers[some], d[some]))]
     some = some[:k]
     some = some[np.isfinite(d[some])]
     return numbers[some], d[some]
@@ -308,9 +324,9 @@ def scan(base: DataFrame, queries: DataFrame, k: int, hits: str) -> DataFrame:
                 continue
             x, q = x.reshape(-1, int(at[1])), q.reshape(-1, int(at[1]))
             numbers, own = ids.to_numpy(zero_copy_only=False), query_ids.to_numpy(zero_copy_only=False)
-            repeats = len(np.unique(numbers)) < len(numbers)
+            rough = rough_squares(q, x, numbers)
             for i, name in enumerate(query_ids.to_pylist()):
-                some, d = closest(x, numbers, q[i], own[i], k, repeats)
+                some, d = closest(x, numbers, q[i], own[i], k, rough and (rough[0][i], rough[1]))
                 near = kept.setdefault(name, {})
                 for n, s in zip(some.tolist(), d.tolist()):
                     if s < near.get(n, math.inf):

@@ -92,3 +92,20 @@ def test_few_vectors_are_all_candidates(spark):
     vectors = spark.createDataFrame([(i, [10.0 ** i, 1.0]) for i in range(7)], "vec_id long, embedding array<double>")
     rows = multiprobe.nearest(vectors, F.lit(True)).collect()
     assert sorted((r["query_id"], r["id"]) for r in rows) == [(i, j) for i in range(7) for j in range(7) if i != j]
+
+
+def test_closest_by_rough_squares_is_exact():
+    rng = np.random.default_rng(11)
+    for n in (3, 12, 400):
+        x = np.round(rng.standard_normal((n, 5)) * rng.choice([1e-6, 1.0, 1e5]), int(rng.integers(0, 7)))
+        x[n // 2:] = x[rng.integers(0, n, n - n // 2)]        # copies and ties
+        numbers = rng.permutation(10 * n)[:n]
+        q = x[rng.integers(0, n, 6)] + rng.choice([0.0, 0.1], (6, 1))
+        rough = multiprobe.rough_squares(q, x, numbers)
+        for i in range(6):
+            own = int(numbers[rng.integers(n)])
+            d = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
+            want = sorted((dist, num) for dist, num in zip(d.tolist(), numbers.tolist()) if num != own)[:10]
+            got = multiprobe.closest(x, numbers, q[i], own, 10, (rough[0][i], rough[1]))
+            assert list(zip(got[1].tolist(), got[0].tolist())) == want
+    assert multiprobe.rough_squares(q, x, np.zeros(len(x))) is None and multiprobe.rough_squares(q * 1e200, x, numbers) is None
