@@ -1,6 +1,8 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from typing import Any, Callable, Iterator
 
@@ -72,6 +74,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 _WORKER: dict[Any, Any] = {}
 
 
+def give_back() -> None:
+    """Freed memory back to the machine, as far as the allocators let it go."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def per_worker(key: Any, make: Callable[[], Any], keep: int = 4) -> Any:
     """An object made once per Python worker; the ``keep`` newest keys of one kind (``key[0]``) stay.
 
@@ -79,8 +90,11 @@ def per_worker(key: Any, make: Callable[[], Any], keep: int = 4) -> Any:
     the models and caches of one operator at a time.
     """
     if key not in _WORKER:
-        for k in [k for k in _WORKER if k[0] != key[0]]:
+        others = [k for k in _WORKER if k[0] != key[0]]
+        for k in others:
             del _WORKER[k]
+        if others:
+            give_back()
         old = list(_WORKER)
         for k in old[:max(0, len(old) - keep + 1)]:
             del _WORKER[k]

@@ -341,12 +341,14 @@ def score_texts(docs: DataFrame, model: ToxicityModel | None, text_col: str = "t
         own = per_worker(("toxicity", key), lambda: sent.value and (sent.value, TokenScores(1, sent.value.token_values)),
                          keep=1)
         for batch in slices(batches):
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(at).to_pylist()
             p = own[0].probability(own[0].decisions(own[1], texts)) if own else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(p)], [*keep, out])
 
     columns = [F.col(f"`{c}`") for c in keep]
-    rows = docs.select(*columns, F.col(f"`{text_col}`").alias("_text"))
+    # a text that is kept goes to the workers once
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    rows = docs.select(*columns) if at < len(keep) else docs.select(*columns, F.col(f"`{text_col}`").alias("_text"))
     return rows.mapInArrow(run, ddl(docs, keep) + f", `{out}` double")
 
 
