@@ -96,9 +96,10 @@ def bucket_counts(texts: DataFrame, text_col: str = "text", buckets: int = BUCKE
 
 
 def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """floor(1000 ln(target share / source share)) of each bucket, one count added to each."""
+    """floor(1000 ln(target share / source share)) of each bucket, one count added to each: the shares are
+    (t + 1) / (T + buckets) and (s + 1) / (S + buckets)."""
     size, s_all, t_all = len(source), float(source.sum()), float(target.sum())
-    return np.array([math.floor(1000 * math.log((t + 1.0) * (t_all + size) / ((s + 1.0) * (s_all + size))))
+    return np.array([math.floor(1000 * math.log((t + 1.0) * (s_all + size) / ((s + 1.0) * (t_all + size))))
                      for s, t in zip(source.tolist(), target.tolist())], np.int64)
 
 

@@ -2,7 +2,9 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as E
@@ -94,3 +96,25 @@ def test_hot_ties_are_split_by_rank(spark, tmp_path):
     rows = E.queries()["op11_importance_resample"](spark, folder).collect()
     ranks = sorted(r["rank"] for r in rows if r["rank"])
     assert ranks == list(range(1, 25 * len(docs) // 100 + 1)) and len(rows) == len(docs)
+
+
+def test_gain_is_the_ratio_of_the_target_share_to_the_source_share():
+    source, target = np.array([9, 0, 90, 1], np.int64), np.array([0, 4, 5, 1], np.int64)
+    want = [math.floor(1000 * math.log((t + 1) * (100 + 4) / ((s + 1) * (10 + 4)))) for s, t in zip([9, 0, 90, 1], [0, 4, 5, 1])]
+    assert imp.gains(source, target).tolist() == want
+    shares = [math.floor(1000 * math.log(((t + 1) / 14) / ((s + 1) / 104))) for s, t in zip([9, 0, 90, 1], [0, 4, 5, 1])]
+    assert max(abs(a - b) for a, b in zip(want, shares)) <= 1
+
+
+def test_weights_of_unequal_tables(spark):
+    docs = spark.createDataFrame([(1, "alpha beta " * 15), (2, "gamma " * 25), (3, None)], "doc_id long, text string")
+    target = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    f1 = ["alpha"] * 15 + ["beta"] * 15 + ["alpha beta"] * 15 + ["beta alpha"] * 14
+    f2 = ["gamma"] * 25 + ["gamma gamma"] * 24
+    bucket = lambda w: zlib.crc32(w.encode()) % 10000
+    s, t = Counter(map(bucket, f1 + f2)), Counter(map(bucket, ["alpha", "beta", "alpha beta"]))
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (108 + 10000) / ((s[b] + 1) * (3 + 10000))))
+    rows = {r["id"]: r for r in imp.resample(docs, target).collect()}
+    assert {i: r["weight"] for i, r in rows.items()} == {
+        1: sum(gain(bucket(w)) for w in f1) // len(f1), 2: sum(gain(bucket(w)) for w in f2) // len(f2), 3: 0}
+    assert [rows[i]["n_features"] for i in (1, 2, 3)] == [59, 49, 0]
