@@ -33,6 +33,7 @@ from tessera.llm.registry import query
 SHINGLE_WORDS = 3
 MOST_BITS = 2
 HASH_SEED = 42
+POINTS_AT_ONCE = 1024       # points whose anchors are listed at a time
 MANY_POINTS = 1 << 26       # beyond this the third block makes anchors finer; results are the same
 
 # fixed values: generator polynomials of the perfect codes, with length, check bits and covering radius
@@ -93,6 +94,9 @@ class Anchors:
     def __init__(self, blocks=BLOCKS, most_bits: int = MOST_BITS):
         self.blocks, self.most_bits = blocks, most_bits
         self.tables = {code: error_patterns(code, most_bits) for _, code in blocks}
+        # code -> number of patterns of each syndrome (rows) with an excess of 0, 1, ... at most; they are sorted by it
+        self.sizes = {code: np.stack([np.bincount(np.repeat(np.arange(len(first) - 1), np.diff(first))[over <= e], minlength=len(first) - 1)
+                                      for e in range(most_bits + 1)], axis=1) for code, (first, _, over) in self.tables.items()}
 
     def near(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the point, anchor, is it home) for every anchor of each point; uint64 points."""
@@ -104,12 +108,10 @@ class Anchors:
             mask = np.uint64((1 << code[1]) - 1)
             word = (points >> np.uint64(first_bit)) & mask
             syn = _syndrome(word, code).astype(np.int64)[at]
-            counts = first[syn + 1] - first[syn]
+            counts = self.sizes[code][syn, self.most_bits - excess]
             rows = np.repeat(np.arange(len(at)), counts)
             into = first[syn][rows] + np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-            total = excess[rows] + over[into]
-            ok = total <= self.most_bits
-            rows, into, excess = rows[ok], into[ok], total[ok]
+            excess = excess[rows] + over[into]
             anchor = anchor[rows] | ((word[at][rows] ^ patterns[into]) << np.uint64(first_bit))
             at = at[rows]
         return at, anchor, excess == 0
@@ -132,7 +134,7 @@ def links(points: DataFrame, blocks=BLOCKS, most_bits: int = MOST_BITS) -> DataF
     """Pairs (a, b) of the distinct fingerprints ``points.fp`` within ``most_bits`` bits, each once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = per_worker(("anchors", blocks, most_bits), lambda: Anchors(blocks, most_bits))
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, POINTS_AT_ONCE):
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             at, anchor, home = anchors.near(fps.view(np.uint64))
             own = np.zeros(len(fps), np.uint64)

@@ -116,3 +116,15 @@ def test_hot_fingerprints_and_components_are_dealt_out(spark, monkeypatch):
 
 def near_rows(docs):
     return [(r["doc_id"], r["fp"], r["component_id"]) for r in S.near_groups(docs).collect()]
+
+
+def test_anchors_of_many_points_take_little_memory():
+    import tracemalloc
+    points = np.random.default_rng(5).integers(0, 1 << 63, 4096, dtype=np.uint64)
+    anchors = S.Anchors()
+    tracemalloc.start()
+    at, anchor, home = anchors.near(points)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert home.sum() == 4096 and len(at) == len(set(zip(at.tolist(), anchor.tolist())))
+    assert peak < 150 * len(at)
