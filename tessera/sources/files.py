@@ -3,6 +3,13 @@ XML page annotations and list-literal manifests. Written tables go to the shared
 staging folder under the session's checkpoint folder."""
 from __future__ import annotations
 
+import os
+import re
+from typing import Iterator
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -56,10 +63,46 @@ def read_text_dir(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("folder", F.replace(folder, F.lit("%3D"), F.lit("=")))
 
 
+# fixed values: what Spark escapes in the folder of a value, and the folder of none
+_FOLDER_NAME = re.compile(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]")
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
 def write_text_files(df: DataFrame, path: str, cls: str, text: str) -> None:
-    """One folder per class, one file per text (null as empty), line breaks kept."""
-    df.select(cls, F.coalesce(F.col(text), F.lit("")).alias(text)).write.mode("overwrite").option(
-        "maxRecordsPerFile", 1).partitionBy(cls).text(path)
+    """One folder per class, one file per text (null as empty), line breaks kept.
+
+    The rows are dealt out first, as creating the files is the work, and few tasks may read the table. In a mounted folder
+    the tasks create the files themselves (Hadoop starts a process for the mode of each); a task that runs again writes
+    the same names. Elsewhere Spark's sink does, where tasks move their own files to their place (committer algorithm 2).
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    dealt = df.select(cls, F.coalesce(F.col(text), F.lit("")).alias(text)).repartition(parts)
+    target = urlsplit(path)
+    if target.scheme not in ("", "file"):
+        dealt.write.mode("overwrite").option("maxRecordsPerFile", 1).option(
+            "mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy(cls).text(path)
+        return
+    top = unquote(target.path) if target.scheme else path
+    if exists(df.sparkSession, path):
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    os.makedirs(top)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, known = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            for folder, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                where = f"{top}/{cls}={_FOLDER_NAME.sub(lambda m: f'%{ord(m[0]):02X}', folder) if folder else _NO_VALUE}"
+                if where not in known:
+                    os.makedirs(where, exist_ok=True)
+                    known.add(where)
+                with open(f"{where}/part-{part:05d}-{n:07d}.txt", "wb") as out:
+                    out.write(value)
+                    out.write(b"\n")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    dealt.select(F.col(cls).cast("string"), F.col(text).cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:

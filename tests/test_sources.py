@@ -1,4 +1,8 @@
 """Whole files, nested page annotations, shuffled shards, mergeable states, dense encoders, restartable fits."""
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +30,30 @@ def test_one_row_per_file(spark, tmp_path):
     assert {(r["folder"], r["class_rank"]) for r in ranked.collect()} == {("business", 1), ("sport", 2), ("tech", 3)}
 
 
+def test_text_files_are_written_by_many_tasks_and_read_once(spark, tmp_path, monkeypatch):
+    reads, real = [], files.read_text_files
+    monkeypatch.setattr(files, "read_text_files", lambda *a: reads.append(real(*a)) or reads[-1])
+    rows = [{"doc_id": i, "text": f"text\n{i}", "lang": ["de", "en", None][i % 3], "source": "s"} for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    out = q_io.scan_text_dir(spark, str(tmp_path))
+    assert "Format: Text" not in out._jdf.queryExecution().toString() and len(reads) == 1
+    assert sorted(map(tuple, out.collect())) == [(1, "class_index=1", 20, 20 * 6 + 16), (2, "class_index=2", 20, 20 * 6 + 17)]
+    names = [r["file"].rsplit("/", 1)[1] for r in reads[0].collect()]
+    assert len(names) == 40 and len({n.split("-")[1] for n in names}) > 4
+
+
+def test_text_files_stand_where_the_text_sink_puts_them(spark, tmp_path):
+    odd = ["a/b", "c=d", "100%", "", None, "é x", "q?[1]^{2}", "back\\slash:'\"#*"]
+    df = spark.createDataFrame([(c, f"t{i}") for i, c in enumerate(odd)], "c string, t string")
+    files.write_text_files(df, f"file:{tmp_path}/own", "c", "t")
+    files.write_text_files(df, f"file:{tmp_path}/own", "c", "t")
+    df.write.partitionBy("c").text(f"{tmp_path}/sink")
+    texts = lambda top: sorted((p.parent.name, p.read_bytes()) for p in (tmp_path / top).rglob("part-*.txt"))
+    own, sink = texts("own"), texts("sink")
+    assert {f for f, _ in own} == {f for f, _ in sink} and len(own) == len(odd)
+    assert sorted(t for _, t in own) == [f"t{i}\n".encode() for i in range(len(odd))]
+
+
 def test_text_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a\nb"), (1, None), (2, "x\n"), (2, " ")], "c int, t string")
     files.write_text_files(df, str(tmp_path / "out"), "c", "t")
@@ -93,6 +121,31 @@ def test_projection_keeps_inner_products(spark):
         assert abs(np.mean(errors)) < 0.3 / dim ** 0.5 and np.std(errors) <= (2 / dim) ** 0.5
 
 
+def test_the_long_form_is_not_exchanged_for_frequent_terms(spark, monkeypatch):
+    rows = [(1, "a a b"), (1, "b c"), (2, "b  c d\n"), (None, "a e"), (None, "a"), (3, ""), (4, None), (5, "f"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {}
+    for i, t in rows:
+        for w in re.split(r"\s+", t.strip(" ")) if t else []:
+            counts.setdefault(i, Counter())[w] += 1
+    idf = {w: math.log((len(rows) + 1) / (sum(w in c for c in counts.values()) + 1)) for c in counts.values() for w in c}
+    raw = {(i, w): n * idf[w] for i, c in counts.items() if i is not None for w, n in c.items()}
+    norm = {i: math.sqrt(sum(x * x for (j, _), x in raw.items() if j == i)) for i, _ in raw}
+    want = {k: x / norm[k[0]] for k, x in raw.items()}
+
+    def got():
+        found = encoders.encode(docs, "tfidf")
+        return found._jdf.queryExecution().optimizedPlan().toString(), {(r["doc_id"], r["term"]): r["weight"] for r in found.collect()}
+
+    plan, all_broadcast = got()
+    assert all_broadcast == pytest.approx(want)
+    # terms are met by broadcast alone, and documents, not their terms, meet their norms
+    assert plan.count("strategy=broadcast") >= 2 and "count(" not in plan
+    monkeypatch.setattr(encoders, "FREQUENT_TERMS", 2)
+    monkeypatch.setattr(encoders, "FEW_IDS", 0)
+    assert got()[1] == pytest.approx(want)
+
+
 def test_dense_encoders_by_name(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "b")], "doc_id long, text string")
     assert {r["doc_id"] for r in encoders.embed(docs, "tf_projected", 16).collect()} == {1, 4}
