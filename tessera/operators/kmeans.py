@@ -22,8 +22,10 @@ from pyspark.sql import types as T
 
 from tessera.session import materialize, ship_package
 
-# values of (rows x clusters x dimensions) compared at a time
+# values of (rows x clusters x dimensions) compared at a time: for groups, and for the rows of one table, few enough to
+# stay in a core's cache
 CHUNK_VALUES = 1 << 22
+NEAR_VALUES = 1 << 15
 START_ROUNDS = 5
 
 
@@ -47,7 +49,7 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if x.shape[1] != centroids.shape[1]:
         raise ValueError("vectors of unequal length")
     near, dist = np.empty(len(x), np.int64), np.empty(len(x))
-    rows = max(1, CHUNK_VALUES // max(1, centroids.size))
+    rows = max(1, NEAR_VALUES // max(1, centroids.size))
     for at in range(0, len(x), rows):
         d = ((x[at:at + rows, None, :] - centroids[None]) ** 2).sum(axis=2)
         near[at:at + rows] = d.argmin(axis=1)
