@@ -1,6 +1,7 @@
 """Whole files, nested page annotations, shuffled shards, mergeable states, dense encoders, restartable fits."""
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import encoders
-from tessera.operators import assign, metrics, prep
+from tessera.operators import assign, kmeans, metrics, prep
 from tessera.plans import q_io
 from tessera.sources import files, tables
 
@@ -158,6 +159,25 @@ def test_dense_encoders_by_name(spark):
         del encoders.DENSE_ENCODERS["length"]
 
 
+def test_a_round_of_the_fit_does_not_make_its_batches_again(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)], i % 3) for i in range(24)], "id long, x array<double>, label int")
+    batched, protos = q_io._batched(v), assign.class_mean_prototypes(v)
+    monkeypatch.setattr(prep, "batches", None)
+    m = q_io._batch_acc(batched, protos).first()
+    assert 0 < m["acc_batch_mean"] <= 1 and m["loss"] > 0
+
+
+def test_nearest_compares_in_small_chunks():
+    x = np.random.default_rng(1).normal(size=(20000, 64))
+    tracemalloc.start()
+    near, dist = kmeans.nearest(x, x[:10])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = ((x[:200, None, :] - x[None, :10]) ** 2).sum(axis=2)
+    assert (near[:200] == want.argmin(axis=1)).all() and (dist[:200] == want.min(axis=1)).all()
+    assert peak < 2 << 20
+
+
 def test_a_fit_that_was_cut_off_goes_on(spark, tmp_path):
     v = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)], i % 3) for i in range(30)], "id long, x array<double>, label int")
 
