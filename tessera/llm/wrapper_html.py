@@ -3,17 +3,19 @@
 Pages of one host are made by one template. Every page is a tree of block elements (runs of alike siblings folded
 into one node). A block text that stands at one path in all pages of a host, or in all of its pages of one layout
 (the same named elements and containers below the body), with at least ``LEAST_PAGES`` different pages among them,
-is template, other texts are slots. For the root paths a few pages of the host are aligned by simple tree matching
-(two nodes match when their labels do, children are matched in order for the largest total); a slot whose text is
+is template, other texts are slots. For the root paths all pages of a layout (those of a host's layouts without
+template together) are aligned by simple tree matching (two nodes match when their labels do, children are matched in
+order for the largest total), and the lengths of their slots and of the links in them are added up; a slot whose text is
 mostly links, or which sits in an element that names a menu, footer, advert or the like, is not content. The content
 roots are the outermost article and main elements with slot text, or else the whole page; each is moved down only as
-far as no slot text is left behind. The wrapper of a host is the paths of these roots and the template's constant
-texts; it is applied to every page of the host, and the blocks that are left of all elements at these paths make the
-text, in page order. A page that is alone on its host, or lacks its host's roots, gets roots of its own, and so does
-text beside them.
+far as no slot text is left behind. The wrapper of a host is the paths of these roots by layout and the template's
+constant texts; it is applied to every page of the host, and the blocks that are left of all elements at these paths
+make the text, in page order. A page that is alone on its host, or lacks its layout's roots, gets roots of its own, and
+so does text beside them.
 
-Only checksums of block texts, intersected within each partition, and the sampled pages move (at most ``SAMPLES`` a
-host); wrappers are broadcast when their size allows and joined by host otherwise.
+Pages are parsed once for their shape, the checksums and lengths of their block texts, which are staged without the
+texts. What pages have in common is intersected, and pages of one shape are added up and shapes aligned, within each
+partition before anything moves; wrappers are broadcast when their size allows and joined by host otherwise.
 
 Defined cases: forms and objects that hold an article or main element, or most of the page's text, are plain
 containers without their controls and labels; a null page counts as empty and gives an empty text; a null or odd url has no host, its page stands
@@ -34,13 +36,12 @@ from tessera.llm.common import ddl, per_worker, prepare, read, slices, stage
 from tessera.llm.dom import BLOCK, DEEPEST, Node, blocks, parse, squeeze
 from tessera.llm.registry import query
 
-SAMPLES = 6                     # pages of a host that are aligned for the root paths
 LEAST_PAGES = 3                 # different pages of a host or layout that make a constant text template
-ALIKE = 0.8                     # share of common texts from which two samples count as copies
+ALIKE = 0.8                     # share of common texts from which two pages count as copies
 LINK_SHARE = 0.5                # links from which a slot is no content
 BROADCAST_BYTES = 64 << 20
 WRAPPERS_KEPT = 20_000          # decoded wrappers a worker keeps
-GROUPS_KEPT = 5_000             # hosts and layouts a task holds before it writes them
+GROUPS_KEPT = 5_000             # hosts and layouts, or their shapes, a task holds before it writes them
 
 # fixed values: elements and names that hold no main text
 ASIDE = frozenset("nav aside footer form button select dialog menu svg math head object canvas audio video".split())
@@ -167,13 +168,14 @@ sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * DEEPEST))
 class Skeleton:
     """Folded tree of block elements: label, block texts with the length of links in each, children."""
 
-    __slots__ = ("label", "tag", "text", "linked", "length", "links", "out", "kids")
+    __slots__ = ("label", "tag", "text", "linked", "length", "links", "out", "many", "kids")
 
     def __init__(self, label: str, tag: str, out: bool):
         self.label, self.tag, self.out = label, tag, out
         self.text: list[str] = []
         self.linked: list[int] = []
-        self.length = self.links = 0        # of the texts that are no template
+        self.length = self.links = 0        # of the texts that are no template, where they are not out
+        self.many = False                   # several siblings that hold such texts, united
         self.kids: list[Skeleton] = []
 
 
@@ -182,17 +184,41 @@ def mark(path: str, text: str) -> int:
     return int.from_bytes(blake2b(f"{path}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def marks(tree: Skeleton) -> set[int]:
-    """Checksums of all block texts of a page."""
-    found: set[int] = set()
+def flat(tree: Skeleton) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """Shape of a tree (a line for each node: depth, whether it is out, label) and its block texts: number of the node,
+    checksum, length, length of links."""
+    lines: list[str] = []
+    texts: list[tuple[int, int, int, int]] = []
 
-    def walk(node: Skeleton, path: str) -> None:
-        found.update(mark(path, text) for text in node.text)
+    def walk(node: Skeleton, path: str, depth: int) -> None:
+        at = len(lines)
+        lines.append(f"{depth} {node.out:d} {node.label}")
+        texts.extend((at, mark(path, text), len(text), linked) for text, linked in zip(node.text, node.linked))
         for kid in node.kids:
-            walk(kid, f"{path}/{kid.label}")
+            walk(kid, f"{path}/{kid.label}", depth + 1)
 
-    walk(tree, tree.label)
-    return found
+    walk(tree, tree.label, 0)
+    return "\n".join(lines), texts
+
+
+def shaped(shape: str) -> list[Skeleton]:
+    """The nodes of a tree of this shape, the top first."""
+    nodes: list[Skeleton] = []
+    above: list[Skeleton] = []
+    for line in shape.split("\n"):
+        depth, out, label = line.split(" ")
+        node = Skeleton(label, label.partition(".")[0], out == "1")
+        del above[int(depth):]
+        if above:
+            above[-1].kids.append(node)
+        above.append(node)
+        nodes.append(node)
+    return nodes
+
+
+def marks(tree: Skeleton) -> set[int]:
+    """Checksums of all block texts of a page."""
+    return {text[1] for text in flat(tree)[1]}
 
 
 def skeleton(node: Node, out: bool = False) -> Skeleton:
@@ -320,28 +346,55 @@ def induce(trees: list[Skeleton], constants: dict[str, list[int]] | None = None)
             here.take(m, [m])
         constants = {"": sorted(here.template())} if here.template() else {}
     common = set().union(*constants.values())
-    template = trees[0]
-    for tree in trees[1:]:
-        _, pairs = tree_match(template, tree)
-        matched = {id(other) for _, other in pairs}
-        for mine, other in pairs:
-            mine.text += other.text
-            mine.linked += other.linked
-            # paths name labels only: what stands elsewhere among its siblings on this page is the same place
-            known = {k.label: k for k in reversed(mine.kids)}
-            for kid in other.kids:
-                if id(kid) not in matched and kid.label in known:
-                    fold(known[kid.label], kid)
-                elif id(kid) not in matched:
-                    mine.kids.append(kid)
 
     def settle(node: Skeleton, path: str) -> None:
-        slots = [(len(t), n) for t, n in zip(node.text, node.linked) if mark(path, t) not in common]
+        slots = [] if node.out else [(len(t), n) for t, n in zip(node.text, node.linked) if mark(path, t) not in common]
         node.length, node.links = sum(t for t, _ in slots), sum(n for _, n in slots)
         for kid in node.kids:
             settle(kid, f"{path}/{kid.label}")
 
-    settle(template, template.label)
+    for tree in trees:
+        settle(tree, tree.label)
+        unite(tree)
+    for tree in trees[1:]:
+        align(trees[0], tree)
+    paths = root_paths(trees[0])
+    return {"root": paths[0], "also": paths[1:], "constants": constants}
+
+
+def align(mine: Skeleton, other: Skeleton) -> None:
+    """Add the lengths of another tree to a tree with an equal root label. A node is out if it is on all pages."""
+    _, pairs = tree_match(mine, other)
+    matched = {id(x) for _, x in pairs}
+    for node, more in pairs:
+        node.length += more.length
+        node.links += more.links
+        node.out = node.out and more.out
+        node.many = node.many or more.many
+        # paths name labels only: what stands elsewhere among its siblings on this page is the same place
+        known = {k.label: k for k in reversed(node.kids)}
+        for kid in more.kids:
+            if id(kid) not in matched and kid.label in known:
+                align(known[kid.label], kid)
+            elif id(kid) not in matched:
+                node.kids.append(kid)
+
+
+def unite(node: Skeleton) -> None:
+    """Make siblings of one label, which have one path, one node."""
+    known: dict[str, Skeleton] = {}
+    for kid in node.kids:
+        unite(kid)
+        first = known.setdefault(kid.label, kid)
+        if first is not kid:
+            many = slot_text(first) > 0 and slot_text(kid) > 0
+            align(first, kid)
+            first.many = first.many or many
+    node.kids = list(known.values())
+
+
+def root_paths(template: Skeleton) -> list[str]:
+    """Paths of the content roots of aligned pages."""
     cores: list[tuple[int, Skeleton, str]] = []
 
     def search(node: Skeleton, path: str) -> None:
@@ -355,15 +408,14 @@ def induce(trees: list[Skeleton], constants: dict[str, list[int]] | None = None)
 
     search(template, template.label)
     found = cores or [(0, template, template.label)]
-    paths = list(dict.fromkeys(narrow(node, path) for _, node, path in sorted(found, key=lambda c: -c[0])))
-    return {"root": paths[0], "also": paths[1:], "constants": constants}
+    return list(dict.fromkeys(narrow(node, path) for _, node, path in sorted(found, key=lambda c: (-c[0], c[2]))))
 
 
 def narrow(node: Skeleton, path: str) -> str:
     """Path of the deepest element below ``node`` that leaves no slot text behind."""
     while not own_text(node):
         some = [kid for kid in node.kids if slot_text(kid)]
-        if len(some) != 1 or not some[0].kids:
+        if len(some) != 1 or some[0].many or not some[0].kids:
             break
         node, path = some[0], f"{path}/{some[0].label}"
     return path
@@ -383,9 +435,8 @@ def path_of(node: Node) -> str:
     return "/".join(reversed(names))
 
 
-def roots(top: Node, wrapper: dict) -> list[Node]:
-    """The elements of a page at the wrapper's root paths, in page order."""
-    paths = [wrapper["root"], *wrapper["also"]]
+def roots(top: Node, paths: list[str]) -> list[Node]:
+    """The elements of a page at the root paths, in page order."""
     found, stack = [], [(top, top.label)]
     while stack:
         node, at = stack.pop()
@@ -407,12 +458,12 @@ def extract(page: str | None, wrapper: dict | None = None) -> str:
     if wrapper:
         constants = wrapper["constants"]
         common = {*constants.get("", ()), *constants.get(kind, ())}
-        if found := roots(top, wrapper):
-            paths = [wrapper["root"], *wrapper["also"]]
-    if not found or kind in constants:      # what a page has beside the roots of its host, or in their place
+        paths = wrapper.get("layouts", {}).get(kind) or [wrapper["root"], *wrapper["also"]]
+        found = roots(top, paths)
+    if not found or kind in constants:      # what a page has beside the roots of its layout, or in their place
         own = induce([skeleton(top)], {"": common})
-        paths += [own["root"], *own["also"]]
-        found = roots(top, {"root": paths[0], "also": paths[1:]})
+        paths = [*(paths if found else ()), own["root"], *own["also"]]
+        found = roots(top, paths)
 
     def constant(node: Node, text: str) -> bool:
         return mark(path_of(node), text) in common
@@ -426,31 +477,135 @@ def host_of(url):
     return F.when(host != "", host)
 
 
-def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
-    """(host, wrapper as JSON) of each host with at least two pages."""
-    keyed = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"),
-                         F.xxhash64(F.lit(3), id_col, url_col).alias("pick")).where(
-        F.col("host").isNotNull() & F.col("html").isNotNull())
-    keyed = keyed.withColumn("lot", F.pmod("pick", F.lit(SAMPLES)))
-    # the first page of each lot, found on ids alone; counts come with it
-    lots = keyed.groupBy("host", "lot").agg(F.min("pick").alias("pick"), F.count(F.lit(1)).alias("n"))
-    some = lots.groupBy("host").agg(F.sum("n").alias("n")).where("n > 1").select("host")
-    chosen = stage(lots.join(some, "host").select("host", "lot", "pick"), "sampled-pages")
-    if chosen.count() * 64 <= BROADCAST_BYTES:
-        chosen = F.broadcast(chosen)
-    sampled = keyed.join(chosen, ["host", "lot", "pick"]).select("host", "lot", "html")
-
-    def align(table: pa.Table) -> pa.Table:
-        # one page a lot, should ids repeat
-        rows = {r["lot"]: r["html"] for r in table.to_pylist()}
-        trees = [skeleton(parse(rows[k])) for k in sorted(rows)]
-        constants = json.loads(table["constants"][0].as_py() or "{}")
-        return pa.table({"host": table["host"][:1], "wrapper": [json.dumps(induce(trees, constants))]})
+_BLOCKS = "host string, layout string, shape string, nodes array<int>, marks array<long>, lengths array<int>, links array<int>"
+
+
+def _page_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shape and block texts of every page that has any, the texts as checksums and lengths."""
+    kinds = [pa.string(), pa.string(), pa.string(), *map(pa.list_, (pa.int32(), pa.int64(), pa.int32(), pa.int32()))]
+    names = ["host", "layout", "shape", "nodes", "marks", "lengths", "links"]
+    for batch in slices(batches, 128):
+        rows = []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            top = parse(page)
+            shape, texts = flat(skeleton(top))
+            if texts:
+                rows.append((host, layout(top), shape, *zip(*texts)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names)
 
+
+def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, wrapper as JSON) of each host with at least two pages, from all of its pages."""
+    keyed = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where(
+        F.col("host").isNotNull() & F.col("html").isNotNull())
     # only hosts with two pages or more; few when they are many
-    several = keyed.select("host", "html").join(F.broadcast(some) if chosen.count() * 64 <= BROADCAST_BYTES else some, "host", "left_semi")
-    constants = host_constants(several)
-    return sampled.join(constants, "host", "left").groupBy("host").applyInArrow(align, "host string, wrapper string")
+    some = stage(keyed.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("host"), "hosts")
+    if some.count() * 64 <= BROADCAST_BYTES:
+        some = F.broadcast(some)
+    page_blocks = stage(keyed.join(some, "host", "left_semi").select("host", "html").mapInArrow(_page_blocks, _BLOCKS), "page-blocks")
+    constants = stage(host_constants(page_blocks), "constants")
+    found = host_roots(page_blocks, constants).groupBy("host").agg(F.collect_list(F.struct("layout", "paths")).alias("roots"))
+
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wrappers = []
+            for constant, layouts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                paths = {r["layout"]: r["paths"] for r in sorted(layouts, key=lambda r: r["layout"])}
+                root, *also = paths.pop("", None) or [""]       # no element stands at an empty path
+                wrappers.append(json.dumps({"root": root, "also": also, "layouts": paths, "constants": json.loads(constant)}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wrappers, pa.string())], ["host", "wrapper"])
+
+    return constants.join(found, "host").select("host", "constants", "roots").mapInArrow(wrap, "host string, wrapper string")
+
+
+_SUMS = "host string, layout string, shape string, many array<int>, lengths array<long>, links array<long>"
+
+
+def _sums_table(trees: dict[tuple[str, str], Skeleton]) -> pa.RecordBatch:
+    rows = []
+    for (host, kind), tree in trees.items():
+        nodes: list[Skeleton] = []
+
+        def walk(node: Skeleton) -> None:
+            nodes.append(node)
+            for kid in node.kids:
+                walk(kid)
+
+        walk(tree)
+        rows.append((host, kind, flat(tree)[0], [i for i, n in enumerate(nodes) if n.many], [n.length for n in nodes],
+                     [n.links for n in nodes]))
+    kinds = [pa.string(), pa.string(), pa.string(), *map(pa.list_, (pa.int32(), pa.int64(), pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)],
+                                      ["host", "layout", "shape", "many", "lengths", "links"])
+
+
+def _aligned(sums: dict[tuple[str, str, str], tuple[list[int], list[int]]]) -> pa.RecordBatch:
+    """One tree for each host and layout from the sums of its shapes."""
+    trees: dict[tuple[str, str], Skeleton] = {}
+    for (host, kind, shape), (lengths, links) in sorted(sums.items()):
+        nodes = shaped(shape)
+        for node, length, linked in zip(nodes, lengths, links):
+            if not node.out:
+                node.length, node.links = length, linked
+        unite(nodes[0])
+        if (host, kind) in trees:
+            align(trees[host, kind], nodes[0])
+        else:
+            trees[host, kind] = nodes[0]
+    return _sums_table(trees)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lengths of the slot texts of the pages of each host and layout, by place, within one partition."""
+    sums: dict[tuple[str, str, str], tuple[list[int], list[int]]] = {}
+    decoded: dict[str, tuple[set[str], set[int]]] = {}
+    for batch in slices(batches):
+        for host, kind, shape, nodes, here, lengths, links, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if text not in decoded:
+                if len(decoded) >= GROUPS_KEPT:
+                    decoded.clear()
+                constants = json.loads(text)
+                decoded[text] = set(constants), set().union(*constants.values())
+            kinds, common = decoded[text]
+            key = host, kind if kind in kinds else "", shape
+            if key not in sums:
+                if len(sums) >= GROUPS_KEPT:
+                    yield _aligned(sums)
+                    sums.clear()
+                count = shape.count("\n") + 1
+                sums[key] = [0] * count, [0] * count
+            length, linked = sums[key]
+            for at, m, n, k in zip(nodes, here, lengths, links):
+                if m not in common:
+                    length[at] += n
+                    linked[at] += k
+    if sums:
+        yield _aligned(sums)
+
+
+def host_roots(page_blocks: DataFrame, constants: DataFrame) -> DataFrame:
+    """(host, layout, paths of the content roots) over every page; pages of layouts without constants count under ""."""
+    def one_layout(table: pa.Table) -> pa.Table:
+        template = None
+        for row in sorted(table.to_pylist(), key=lambda r: (r["shape"], r["lengths"], r["links"])):
+            nodes = shaped(row["shape"])
+            for node, length, linked in zip(nodes, row["lengths"], row["links"]):
+                node.length, node.links = length, linked
+            for at in row["many"]:
+                nodes[at].many = True
+            if template is None:
+                template = nodes[0]
+            else:
+                align(template, nodes[0])
+        return pa.table({"host": table["host"][:1], "layout": table["layout"][:1],
+                         "paths": pa.array([root_paths(template)], pa.list_(pa.string()))})
+
+    size = constants.agg(F.sum(F.octet_length("constants") + F.octet_length("host"))).first()[0] or 0
+    known = F.broadcast(constants) if size <= BROADCAST_BYTES else constants
+    rows = page_blocks.join(known, "host").select("host", "layout", "shape", "nodes", "marks", "lengths", "links", "constants")
+    return rows.mapInArrow(_summed, _SUMS).groupBy("host", "layout").applyInArrow(
+        one_layout, "host string, layout string, paths array<string>")
 
 
 _COMMON = "host string, layout string, everywhere array<long>, kinds array<array<long>>"
@@ -469,10 +624,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the pages of each host and layout have in common, within one partition."""
     groups: dict[tuple, Common] = {}
     for batch in slices(batches, 128):
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            top = parse(page)
-            if here := marks(skeleton(top)):
-                groups.setdefault((host, layout(top)), Common()).take(here, [here])
+        for host, kind, here in zip(*(c.to_pylist() for c in batch.columns)):
+            groups.setdefault((host, kind), Common()).take(set(here), [set(here)])
         if len(groups) > GROUPS_KEPT:
             yield _common_table(groups)
             groups.clear()
@@ -487,7 +640,7 @@ def _merged(table: pa.Table) -> Common:
     return group
 
 
-def host_constants(keyed: DataFrame) -> DataFrame:
+def host_constants(page_blocks: DataFrame) -> DataFrame:
     """(host, constants as JSON): block texts that stand at one path in all pages of a host (under "") and in all of a
     layout, over every page; copies change nothing, as the same set met twice gives the same intersection."""
     def one_layout(table: pa.Table) -> pa.Table:
@@ -500,15 +653,15 @@ def host_constants(keyed: DataFrame) -> DataFrame:
                 found[row["layout"]] = sorted({*row["everywhere"], *found.get(row["layout"], ())})
         return pa.table({"host": table["host"][:1], "constants": [json.dumps(found)]})
 
-    parts = stage(keyed.select("host", "html").mapInArrow(_gathered, _COMMON), "page-blocks")
+    parts = page_blocks.select("host", "layout", "marks").mapInArrow(_gathered, _COMMON)
     layouts = parts.groupBy("host", "layout").applyInArrow(one_layout, _COMMON)
     return layouts.groupBy("host").applyInArrow(one_host, "host string, constants string")
 
 
-def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
+def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` without the html, with ``text`` (new, or in place of such a column): the main text of every page."""
     prepare(pages.sparkSession)
-    wrappers = stage(induce_wrappers(pages, url_col, html_col, id_col), "wrappers")
+    wrappers = stage(induce_wrappers(pages, url_col, html_col), "wrappers")
     size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         wrappers = F.broadcast(wrappers)

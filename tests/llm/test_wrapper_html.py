@@ -1,4 +1,5 @@
 import html
+import json
 import re
 
 import __spark_entry__ as E
@@ -120,6 +121,58 @@ def test_constants_come_from_all_pages(spark):
         assert text[i] == want, i
 
 
+def framed(rows):
+    return "page_id long, url string, html string", [(i, f"http://a.example/{i}", h) for i, h in enumerate(rows)]
+
+
+def test_roots_come_from_all_pages(spark):
+    def page(n, annex=""):
+        links = "".join(f'<li><a href="/{n}{i}">Read {n} {i}</a></li>' for i in range(3))
+        return (f'<body><div class="side"><ul>{links}</ul></div><div class="story"><h2>Title {n}</h2><p>Text of {n}, whole.</p></div>'
+                f"{annex}<div class=legal>Imprint</div></body>")
+
+    # two of many pages have a second part, in a layout of their own; one page is of another make
+    html = [page(n) for n in range(120)] + [page(n, f"<div class=annex><p>Annex of {n}, a text too.</p></div>") for n in (120, 121)]
+    html.append("<body><p>No page 122 here.</p></body>")
+    schema, rows = framed(html)
+    for parts in (1, 7):
+        text = {r["page_id"]: r["text"] for r in W.extract_pages(spark.createDataFrame(rows, schema).repartition(parts)).collect()}
+        for n in range(120):
+            assert text[n] == f"Title {n}\nText of {n}, whole.", n
+        for n in (120, 121):
+            assert f"Title {n}\nText of {n}, whole.\nAnnex of {n}, a text too." in text[n]
+        assert text[122] == "No page 122 here."
+
+
+def test_host_roots_equal_those_of_all_pages_aligned_at_once(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+
+    def block(n, i):
+        """Varying text, links or a constant, in a place that some pages lack."""
+        kinds = [f"<p>Text {i} of {n}.</p>", f'<p><a href="/">Read {i} of {n}</a></p>', "<p>Always this</p>"]
+        inner = kinds[int(rng.choice(3, p=[[.9, .1, 0], [.1, .9, 0], [0, 0, 1]][i % 3]))]
+        return f"<div class=part{'abcdefgh'[i]}><div class=inner>{inner}</div></div>" if rng.random() < 0.7 else ""
+
+    for core in ("div", "article"):
+        pages = [f"<body><div id=a>{''.join(block(n, i) for i in range(3))}</div><{core} id=b>{''.join(block(n, i) for i in range(3, 8))}</{core}></body>"
+                 for n in range(80)]
+        found = W.induce_wrappers(spark.createDataFrame(framed(pages)[1], framed(pages)[0]).repartition(5)).collect()
+        wrapper = json.loads(found[0]["wrapper"])
+        want = W.induce([W.skeleton(parse(p)) for p in pages], wrapper["constants"])
+        assert len(found) == 1 and len(wrapper["layouts"]) == 1
+        for paths in wrapper["layouts"].values():
+            assert set(paths) == {want["root"], *want["also"]}
+
+
+def test_shapes_keep_the_tree():
+    tree = W.skeleton(parse(SITE.format(n=1, body="Text.")))
+    shape, texts = W.flat(tree)
+    nodes = W.shaped(shape)
+    assert W.flat(nodes[0])[0] == shape and len(nodes) == shape.count("\n") + 1 and nodes[0].tag == "html"
+    assert {m for _, m, _, _ in texts} == W.marks(tree)
+
+
 def test_text_inside_a_form_is_kept():
     text = "<p>A paragraph of {n}, long enough.</p><p>Another one of {n}.</p>"
     controls = "<label>Your name</label><select><option>x</select><button>Send</button>"
